@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontaminate, packing
+from foliomill.llm import decontaminate, packing, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(secrets.find_secrets(_read(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _read(spark, sf_dir, "documents"))
 
