@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.llm import decontaminate, packing, secrets
+from foliomill.llm import decontaminate, language, packing, quality, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(_read(spark, sf_dir, "documents"))
+
+
 def op3_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(secrets.find_secrets(_read(spark, sf_dir, "documents"), carry=["doc_id"]))
 
@@ -22,6 +26,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, _read(spark, sf_dir, "documents"))
 
 
+def op7_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return decontaminate.contamination_report(found)
