@@ -203,7 +203,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 START = 4.0
 
 
-def train_nnpu(features: Features, positive: list[str], unlabelled: list[str], prior: float, epochs: int = 8, rate: float = 0.3, batch: int = 192, slack: float = 0.02, least: int = 8, seed: int = 1) -> LinearText:
+def train_nnpu(features: Features, positive: list[str], unlabelled: list[str], prior: float, epochs: int = 18, rate: float = 0.6, batch: int = 192, slack: float = 0.02, least: int = 8, seed: int = 1) -> LinearText:
     """A linear classifier from confirmed positives and unlabelled texts.
 
     Minimises the non-negative risk: prior * loss(P as positive) +
