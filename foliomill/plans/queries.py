@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from foliomill.functions import media as mf
 from foliomill.functions import text as tf
 from foliomill.functions import url as uf
-from foliomill.operators import batching, catalog, collect, library, translation
+from foliomill.functions.rewrite import Options
+from foliomill.operators import batching, catalog, collect, library, saving, translation
 from foliomill.session import configure
-from foliomill.sources.pages import page_nodes
+from foliomill.sources import cookies as ck
+from foliomill.sources.pages import page_nodes, scan_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -648,3 +650,81 @@ def library_suggestions(spark, sf_dir):
 @query(f"SELECT domain, n, id FROM (SELECT domain, row_number() OVER (PARTITION BY domain ORDER BY created_at DESC, id)::INTEGER AS n, id FROM {_LIBRARY} x) y WHERE n <= 3")
 def library_latest_of_domain(spark, sf_dir):
     return library.latest_of_domain(_library(spark, sf_dir)).drop("created_at")
+
+
+JAR = [
+    (1, "# Netscape HTTP Cookie File"),
+    (2, ".Example.com\tTRUE\t/\tTRUE\t0\tsid\tabc"),
+    (3, "# comment"),
+    (4, "h.example\tFALSE\t/docs\tFALSE\t4102444800\tk\tv"),
+    (5, "spaces instead of tabs"),
+    (6, "old.example\tFALSE\t/\tFALSE\t1000\tgone\tx"),
+    (7, "bad.example\tFALSE\t/\tFALSE\tsoon\tn\ty"),
+]
+COOKIES = [(2, ".example.com", True, "/", True, 0, "sid", "abc"), (4, "h.example", False, "/docs", False, 4102444800, "k", "v"), (6, "old.example", False, "/", False, 1000, "gone", "x"), (7, "bad.example", False, "/", False, None, "n", "y")]
+
+
+def _jar(spark):
+    return ck.parse_cookies(literals(spark, JAR, "line_no int, line string"))
+
+
+@query(f"SELECT line_no, domain, include_subdomains, path, https_only, coalesce(expires, -1)::BIGINT AS expires, name, value FROM {values(COOKIES, 'line_no, domain, include_subdomains, path, https_only, expires, name, value')}")
+def cookie_jar(spark, sf_dir):
+    return _jar(spark).withColumn("expires", F.coalesce("expires", F.lit(-1)))
+
+
+VISITS = [(1, "https://www.example.com/a"), (2, "http://example.com/"), (3, "https://example.com"), (4, "http://h.example/docs/x"), (5, "http://h.example/"), (6, "http://old.example/"), (7, "ftp://h.example/docs")]
+
+
+@query("SELECT id, name FROM (VALUES (1, 'sid'), (3, 'sid'), (4, 'k')) t(id, name)")
+def cookies_of_urls(spark, sf_dir):
+    return ck.cookies_for(literals(spark, VISITS, "id int, url string"), _jar(spark), F.lit(2000)).select("id", "name")
+
+
+TARGETS = [("data:text/html,<p>x",), ("data:image/png,x",), ("https://a.example/",), ("https://b.example/",), ("/tmp/x.html",), ("/missing",)]
+SCANNED = [("data:text/html,<p>x", "<p>x", None), ("data:image/png,x", None, "unsupported data URL media type"), ("https://a.example/", "<b>", None), ("https://b.example/", None, "could not retrieve target document"), ("/tmp/x.html", "<i>", None), ("/missing", None, "file not found")]
+
+
+@query(f"SELECT target, html, error FROM {values(SCANNED, 'target, html, error')}")
+def scanned_documents(spark, sf_dir):
+    web = literals(spark, [("https://a.example/", b"<b>", "text/html")], "url string, bytes binary, media_type string")
+    files = literals(spark, [("/tmp/x.html", b"<i>")], "path string, content binary")
+    return scan_documents(literals(spark, TARGETS, "target string"), web, files).withColumn("html", F.col("html").cast("string"))
+
+
+PAGE = "<html><head><link rel=stylesheet href=a.css></head><body><img src=i.png><a href=/p>l</a></body></html>"
+ASSETS = [("https://h.example/d/a.css", "https://h.example/d/a.css", b"@import 'z.css'; p{color:red}", "text/css", ""), ("https://h.example/d/z.css", "https://h.example/d/z.css", b"b{background:url(i.png)}", "text/css", ""), ("https://h.example/d/i.png", "https://h.example/d/i.png", b"PNG", "image/png", "")]
+
+
+@query()
+def saved_page(spark, sf_dir):
+    """A page with a sheet that imports another, both inside at the end."""
+    pages = literals(spark, [(1, "https://h.example/d/", PAGE)], "page_id bigint, url string, html string")
+    assets = literals(spark, ASSETS, "url_key string, final_url string, bytes binary, media_type string, charset string")
+    return saving.saved_pages(spark, pages, assets)
+
+
+@query()
+def saved_pages(spark, sf_dir):
+    """All pages without scripts, as bytes of HTML."""
+    pages = table(spark, sf_dir, "pages")
+    none = literals(spark, [], "url_key string, final_url string, bytes binary, media_type string, charset string")
+    return saving.formatted(saving.saved_pages(spark, pages, none, Options(no_js=True), rounds=1), metadata=False)
+
+
+@query(f"SELECT page_id, {_count('html', '<script')} AS scripts, 0 AS scripted FROM pages")
+def saved_without_scripts(spark, sf_dir):
+    """Script elements stay, their content goes."""
+    pages = table(spark, sf_dir, "pages")
+    none = literals(spark, [], "url_key string, final_url string, bytes binary, media_type string, charset string")
+    out = saving.saved_pages(spark, pages, none, Options(no_js=True), rounds=1)
+    return out.select("page_id", F.regexp_count("html", F.lit("<script")).alias("scripts"), F.regexp_count("html", F.lit("<script[^>]*>[^<]")).alias("scripted"))
+
+
+@query(f"SELECT page_id, ({_count('html', '<a\\s[^>]*href')})::BIGINT AS links FROM pages")
+def rewritten_links(spark, sf_dir):
+    """Anchors of the trees whose links can be taken to a proxy."""
+    pages = table(spark, sf_dir, "pages")
+    rows = catalog.absolute_anchors(catalog.page_anchors(pages), pages)
+    counted = rows.groupBy("page_id").agg(F.count_if(F.col("proxied").isNotNull() | F.col("href").startswith("#")).alias("links"))
+    return pages.select("page_id").join(counted, "page_id", "left").fillna(0, ["links"])
