@@ -75,13 +75,16 @@ class LinearText:
 
     ``spread``: texts are scored by the mean over words, or else by the sum
     over distinct words divided by the root of their number, which keeps a
-    few telling words visible in a long text.
+    few telling words visible in a long text.  ``piece``: longer texts are
+    scored by pieces of that many words (the last one half as long again at
+    most), and the largest output of the pieces is the text's.
     """
 
     features: Features
     table: np.ndarray  # outputs x buckets
     bias: np.ndarray
     spread: bool = False
+    piece: int | None = None
 
     def scores(self, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
         """One row of outputs for each text; the bias alone for a text without words."""
@@ -89,15 +92,22 @@ class LinearText:
         owner, found = self.features.of(words.distinct)
         share = self.features.shares(owner, len(words.distinct))
         codes, text = words.codes.astype(np.int64), words.owner
+        pieces = np.ones(len(words.offsets) - 1, np.int64)
+        if self.piece:
+            pieces = np.maximum(1, (words.counts + self.piece // 2) // self.piece)
+            inside = (np.arange(len(codes)) - np.repeat(words.offsets[:-1], words.counts)) // self.piece
+            text = np.repeat(np.cumsum(pieces) - pieces, words.counts) + np.minimum(inside, np.repeat(pieces - 1, words.counts))
         if self.spread:
             key = np.unique(text * max(1, len(words.distinct)) + codes)
             text, codes = np.divmod(key, max(1, len(words.distinct)))
-        number = np.bincount(text, minlength=len(words.offsets) - 1)
-        out = np.empty((len(words.offsets) - 1, len(self.table)))
+        number = np.bincount(text, minlength=int(pieces.sum()))
+        out = np.empty((int(pieces.sum()), len(self.table)))
         for k, weights in enumerate(self.table):
             each = np.bincount(owner, weights=weights[found] * share, minlength=len(words.distinct))
             total = np.bincount(text, weights=each[codes], minlength=len(out))
             out[:, k] = total / np.maximum(1, np.sqrt(number) if self.spread else number)
+        if self.piece and len(out):
+            out = np.maximum.reduceat(out, np.cumsum(pieces) - pieces, axis=0)
         return out + self.bias
 
 
@@ -203,7 +213,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 START = 4.0
 
 
-def train_nnpu(features: Features, positive: list[str], unlabelled: list[str], prior: float, epochs: int = 18, rate: float = 0.6, batch: int = 192, slack: float = 0.02, least: int = 8, seed: int = 1) -> LinearText:
+def train_nnpu(features: Features, positive: list[str], unlabelled: list[str], prior: float, epochs: int = 16, rate: float = 0.6, batch: int = 192, slack: float = 0.02, least: int = 16, piece: int | None = 400, seed: int = 1) -> LinearText:
     """A linear classifier from confirmed positives and unlabelled texts.
 
     Minimises the non-negative risk: prior * loss(P as positive) +
@@ -247,7 +257,7 @@ def train_nnpu(features: Features, positive: list[str], unlabelled: list[str], p
             g = error.sum()
             bias_squares += g * g
             bias -= rate * 0.1 * g / np.sqrt(bias_squares)
-    return LinearText(features, (table * ratio)[None, :], np.array([bias]), spread=True)
+    return LinearText(features, (table * ratio)[None, :], np.array([bias]), spread=True, piece=piece)
 
 
 def pu_cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:

@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.llm.labelled import SAMPLE_TEXT_BYTES, draw, held_out, texts_of
+from foliomill.llm.labelled import draw, held_out, texts_of
 from foliomill.llm.rows import map_texts, unpacked
 from foliomill.llm.subword import Features, LinearText, pu_cut, sigmoid, train_nnpu
 
 FOLDS, HELD_OUT = 5, 0
 FEATURES = Features(bits=18, shortest=3, longest=4, lower=True)
-POSITIVE_ROWS, UNLABELLED_ROWS = 2000, 4000
+POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 9000
 THRESHOLD = 0.5
+#: Longest text, in bytes, that is drawn for fitting: about what one scored piece of a text holds.
+SAMPLE_TEXT_BYTES = 4096
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType())])
 
