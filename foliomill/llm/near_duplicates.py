@@ -7,7 +7,8 @@ round that reached it; after as many rounds again every bin that is still empty
 gets one of its own, so all coordinates fill.  Bands of coordinates give
 buckets.  In each bucket every node is compared with the least one; where that
 leaves a bucket in several components, the pairs across components whose
-sketches agree enough are compared as well.  Comparison is always on whole sets.
+sketches agree enough are compared as well, in blocks that keep track of what
+is connected and give back links, not pairs.  Comparison is always on whole sets.
 """
 
 from __future__ import annotations
@@ -188,25 +189,73 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     return keyed.join(texts, "lead").select("group", "center", "node", "is_center", "text").groupBy("group").applyInArrow(_compare(words, percent), "a binary, b binary")
 
 
-def _across(size: int):
-    """Pairs of one block pair of a bucket: other components, sketches that agree enough."""
+def _candidates(table: pa.Table, bands: int, rows: int) -> list[tuple[int, int, int]]:
+    """Pairs (agreeing coordinates, i, j) of one block pair of a bucket that are still to be compared.
+
+    They have different labels and sketches that agree enough, and share no
+    earlier band, where the pair was seen already.
+    """
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, bands * rows)
+    _, number = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
+    block, first, second = table.column("block").to_numpy(), table.column("first")[0].as_py(), table.column("second")[0].as_py()
+    index = table.column("index")[0].as_py()
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    out = []
+    for i in left.tolist():
+        js = right[right > i] if first == second else right
+        js = js[number[js] != number[i]]
+        same = sketch[js] == sketch[i]
+        agree = same.sum(axis=1)
+        fit = agree >= AGREEING * bands * rows
+        if fit.any():
+            earlier = same[fit].reshape(-1, bands, rows)[:, :index].all(axis=2).any(axis=1)
+            out += [(int(n), i, j) for n, j, seen in zip(agree[fit].tolist(), js[fit].tolist(), earlier.tolist(), strict=True) if not seen]
+    return out
+
+
+def _flag(bands: int, rows: int):
+    """The nodes of a block pair that have a pair to compare."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, label, block = (table.column(c).to_pylist() for c in ("node", "label", "block"))
-        first = table.column("first")[0].as_py()
-        second = table.column("second")[0].as_py()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), size)
-        _, number = np.unique(np.array(label, dtype=object), return_inverse=True)
-        left = np.flatnonzero(np.array(block) == first)
-        right = np.flatnonzero(np.array(block) == second)
+        at = sorted({x for _, i, j in _candidates(table, bands, rows) for x in (i, j)})
+        return table.take(pa.array(at, pa.int64()))
+
+    return run
+
+
+def _link(words: int, percent: int, bands: int, rows: int):
+    """Compare the pairs of a block pair on whole texts, the most alike first; pairs that are connected by then are left out.
+
+    At most one edge for each node comes out, however many pairs there are.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = shingle_sets(table.column("text"), words)
+        node, label = table.column("node").to_pylist(), table.column("label").to_pylist()
+        real = [_digest(s) == n for s, n in zip(sets, node, strict=True)]
+        root = {x: x for x in label}
+
+        def find(x: bytes) -> bytes:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         a, b = [], []
-        for i in left.tolist():
-            js = right[right > i] if first == second else right
-            js = js[number[js] != number[i]]
-            for j in js[(sketch[js] == sketch[i]).sum(axis=1) >= AGREEING * size].tolist():
-                a.append(min(node[i], node[j]))
-                b.append(max(node[i], node[j]))
-        return pa.table({"center": pa.array(a, pa.binary()), "node": pa.array(b, pa.binary())})
+        for _, i, j in sorted(_candidates(table, bands, rows), reverse=True):
+            x, y = find(label[i]), find(label[j])
+            if x == y or not (real[i] and real[j]):
+                continue
+            s, t = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+            if 100 * len(s) < percent * len(t):
+                continue
+            at = np.searchsorted(t, s)
+            both = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                root[max(x, y)] = min(x, y)
+                a.append(node[i])
+                b.append(node[j])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -239,12 +288,16 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, words: int =
     labelled = members.select("band", "node", "many").join(label_of, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = scratch.table(labelled, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = labelled.join(mixed, "band", "left_semi").join(nodes.select("node", "sketch"), "node")
+    rest = labelled.join(mixed, "band", "left_semi").join(nodes.select("node", "sketch", "bands"), "node")
     blocks = F.ceil(F.col("many") / F.lit(BLOCK_NODES)).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", "node", "label", "sketch", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-    across = paired.groupBy("band", "first", "second").applyInArrow(_across(bands * rows), "center binary, node binary")
-    more = scratch.table(_verified(across, named, slim, words, percent, scratch), "verified")
+    rest = rest.withColumn("index", (F.array_position("bands", F.col("band")) - 1).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = rest.withColumn("other", each).select("band", "index", "node", "label", "sketch", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    flagged = scratch.table(paired.groupBy("band", "first", "second").applyInArrow(_flag(bands, rows), paired.schema), "flagged")
+    texts = slim.select(F.col("doc_id").alias("lead"), "text")
+    whole = flagged.join(named.select("node", "lead"), "node").join(texts, "lead").select(*paired.columns, "text")
+    more = scratch.table(whole.groupBy("band", "first", "second").applyInArrow(_link(words, percent, bands, rows), "a binary, b binary"), "linked")
     if not more.isEmpty():
         scratch.drop(label_of)
         label_of = components(spark, edges.union(more), scratch)
