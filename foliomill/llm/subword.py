@@ -164,18 +164,21 @@ def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, weights=v, minlength=size) for v in values])
 
 
-def train_embeddings(features: Features, texts: list[str], labels: np.ndarray, classes: int, dim: int = 8, epochs: int = 4, rate: float = 0.5, batch: int = 32, seed: int = 1) -> LinearText:
+def train_embeddings(features: Features, texts: list[str], labels: np.ndarray, classes: int, dim: int = 8, epochs: int = 4, rate: float = 0.5, batch: int = 32, least_steps: int = 300, seed: int = 1) -> LinearText:
     """Averaged subword embeddings under a linear softmax, by plain stochastic gradient descent.
 
     The learned embeddings and the softmax weights are multiplied out, so the
-    result scores words without the embeddings themselves.
+    result scores words without the embeddings themselves.  Few texts are gone
+    through more often, so that there are ``least_steps`` steps.
     """
     rng = np.random.default_rng(seed)
     buckets = 1 << features.bits
     embed = rng.uniform(-1 / dim, 1 / dim, (dim, buckets))
     weights, bias = rng.normal(0, 0.1, (dim, classes)), np.zeros(classes)
     bags = _Bags(features, texts, spread=False)
-    steps, done = epochs * -(-len(texts) // batch), 0
+    rounds = -(-len(texts) // batch)
+    epochs = max(epochs, -(-least_steps // max(1, rounds)))
+    steps, done = epochs * rounds, 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for i in range(0, len(order), batch):

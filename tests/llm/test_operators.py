@@ -1,0 +1,282 @@
+"""Every operator against its plain version, with awkward rows among the documents."""
+
+import hashlib
+import random
+import zlib
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tests.llm import brute
+
+from foliomill.llm import decontaminate, language, near_duplicates, packing, quality, secrets, sharding, substrings, top_k, toxicity
+from foliomill.llm.queries import queries
+
+SF = "/root/testdata/sf0.001"
+LONG = " ".join(f"w{i % 997}x{i}" for i in range(30_000))
+PASSAGE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+ODD = [
+    (9001, None),
+    (9002, ""),
+    (9003, " \n\t "),
+    (9004, "two words"),
+    (9005, LONG),
+    (9006, LONG + " tail"),
+    (9007, f"a b c {PASSAGE} d e f"),
+    (9008, f"x {PASSAGE} y {PASSAGE}"),
+    (9009, PASSAGE.upper()),
+    (9010, 'password = "hunter2x" and AKIA' + "A" * 16 + " é " + "0123456789abcdef" * 2 + " secret=ab token: token=abcdef"),
+    (9011, "12345 678 !!! ..."),
+    (9012, "It's DON'T x!'s a.'sx 12ab3'4 <|endoftext|>Ab İ Á, café's 'S ½≠ ß STRASSE 你好 a_b-c’s"),
+]
+
+
+def frame(spark, rows):
+    """Documents with columns that clash with results and helpers."""
+    data = [(i, t, "en", "s", len(t or ""), 1, "x", "r") for i, t in rows]
+    return spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words int, node string, row string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    return real + ODD
+
+
+@pytest.fixture(scope="module")
+def table(spark, docs):
+    return frame(spark, docs).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return frame(spark, [])
+
+
+def test_near_duplicates(spark, docs, table):
+    expected = brute.components(docs)
+    rows = near_duplicates.near_duplicate_components(spark, table).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == expected
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows) and len(rows) == len(docs)
+
+
+def test_near_duplicate_group_that_a_star_does_not_cover(spark):
+    """A chain of texts, each like the next one only, is one component whatever the centers are."""
+    rng = random.Random(3)
+    words = [f"v{i}" for i in range(120)]
+    chain = []
+    for i in range(40):
+        chain.append((i, " ".join(words)))
+        words[(7 * i) % 120] = f"new{i}"
+        words[(7 * i + 60) % 120] = f"other{i}"
+    rng.shuffle(chain)
+    expected = brute.components(chain)
+    rows = near_duplicates.near_duplicate_components(spark, frame(spark, chain)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == expected
+
+
+def test_near_duplicates_of_repeated_rows_and_nulls(spark, empty):
+    rows = [(1, PASSAGE), (1, PASSAGE), (2, PASSAGE), (None, PASSAGE), (None, "alone here now"), (3, None)]
+    out = near_duplicates.near_duplicate_components(spark, frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in out) == [("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "3", True), ("None", "1", False), ("None", "None", False)]
+    assert near_duplicates.near_duplicate_components(spark, empty).count() == 0
+    kept = near_duplicates.without_near_duplicates(spark, frame(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3] and kept.columns == frame(spark, rows).columns
+
+
+def test_sketches_fill_and_estimate():
+    import numpy as np
+
+    a = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sketch = near_duplicates.sketches([a[:800], a[200:], a[:1], np.zeros(0, np.uint64)], 256)
+    assert (sketch[:3] != np.uint64(0xFFFFFFFFFFFFFFFF)).all() and (sketch[3] == np.uint64(0xFFFFFFFFFFFFFFFF)).all()
+    assert abs((sketch[0] == sketch[1]).mean() - 0.6) < 0.1
+
+
+def test_substrings(spark, docs, table, empty):
+    rows = substrings.remove_repeats(spark, table, batch_bytes=40_000, bucket_bytes=20_000).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute.repeats(docs)
+    assert substrings.remove_repeats(spark, empty).count() == 0
+
+
+def test_substrings_of_equal_and_missing_ids(spark):
+    rows = [(5, PASSAGE), (5, PASSAGE), (None, PASSAGE), (None, None), (7, PASSAGE)]
+    out = substrings.remove_repeats(spark, frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in out) == [("5", 0), ("5", 0), ("7", 16), ("None", 0), ("None", 0)]
+
+
+def test_contamination(spark, docs, table, empty):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(500, PASSAGE), (501, "Two, words"), (502, None), (503, "..."), (504, "12345")]
+    bench = spark.createDataFrame([(str(i) if i else None, t, 1) for i, t in items] + [(None, "w1x1", 2)], "item_id string, text string, n_words int")
+    expected = brute.contamination(docs, items)
+    for limit in (decontaminate.PATTERN_BYTES, 4000):  # one pass, and many
+        found = decontaminate.find_contamination(spark, table, bench, ["doc_id"], pattern_bytes=limit)
+        rows = decontaminate.contamination_report(found).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows}
+        assert got == {i: (n, h, len(x), hashlib.sha256(",".join(x).encode()).hexdigest(), h > 0) for i, (n, h, x) in expected.items()}
+    assert decontaminate.clean_documents(spark, empty, bench).count() == 0
+    assert decontaminate.clean_documents(spark, table, bench.limit(0)).count() == len(docs)
+
+
+def test_secrets(spark, docs, table, empty):
+    rows = secrets.secrets_report(secrets.find_secrets(table, ["doc_id"])).collect()
+    for r, text in ((r, dict(docs)[r["doc_id"]]) for r in rows):
+        spans = brute.base_spans(text)
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in spans).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, _, k in spans) for x in ("assign", "access", "hex"))
+    assert len(rows) == len(docs) and secrets.find_secrets(empty).count() == 0
+
+
+def test_token_efficiency_finds_random_strings_only():
+    known = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    rng = random.Random(1)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    drawn = ["".join(rng.choices(letters, k=40)) for _ in range(200)]
+    assert sum(secrets.is_random(s, known) for s in drawn) >= 196
+    plain = ["d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "2024-01-01_2024-12-31-000001", "getUserAccountByIdentifier2", "internationalization_of_text_v2", "Donaudampfschifffahrtsgesellschaft"]
+    assert not any(secrets.is_random(s, known) for s in plain)
+    text = f"key {drawn[0]} end"
+    spans = secrets.all_spans(text, known)
+    assert spans == [(4, 44, "random")] and secrets.redact(text, spans) == "key [SECRET] end"
+
+
+def check_packing(rows, docs, size=packing.SEQUENCE_TOKENS):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    expected = {}
+    for i, text in docs:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), size)):
+            part = ids[at : at + size]
+            expected[i, k] = (at, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)))
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected and len(rows) == len(expected)
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(bins)
+
+
+def test_packing(spark, docs, table, empty):
+    rows = packing.pack_documents(spark, table).collect()
+    bins = check_packing(rows, docs)
+    import numpy as np
+
+    assert bins <= packing.lower_bound(np.array([r["length"] for r in rows]), packing.SEQUENCE_TOKENS) + 1
+    assert packing.pack_documents(spark, empty).count() == 0
+    several = packing.pack_documents(spark, table, partition_pieces=40).collect()
+    assert check_packing(several, docs) <= bins + 2
+
+
+def test_best_fit_and_bound():
+    import numpy as np
+
+    lengths = np.array([6, 6, 6, 4, 4, 4, 5, 5, 10])
+    bins, offsets = packing.best_fit_decreasing(lengths, 10)
+    assert bins.max() + 1 == 5 == packing.lower_bound(lengths, 10)
+    assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3 and packing.lower_bound(np.array([4, 4, 4]), 10) == 2
+    assert packing.lower_bound(np.zeros(0, int), 10) == 0
+
+
+def test_top_k(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(12)], 1) for i in range(1500)]
+    rows += [(2000 + i, rows[100][1], 1) for i in range(30)]  # one vector many times
+    rows += [(3000, None, 1), (3001, [1.0, None] * 6, 1), (3002, [float("nan")] * 12, 1), (3050, [0.5] * 3, 1), (3051, [0.25] * 3, 1), (None, [0.1] * 12, 1), (3053, [float("inf")] * 12, 1)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score int")
+    import math
+
+    ints = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    expected = {}
+    for q in (i for i in ints if i % 50 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q and len(v) == len(ints[q]))[:5]
+        expected |= {(q, k): (i, -s) for k, (s, i) in enumerate(scored, 1)}
+    for block, group in ((8192, 8192), (400, 10)):
+        out = top_k.top_inner_products(table, block_rows=block, group_queries=group).collect()
+        assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in out} == expected
+    assert top_k.top_inner_products(table.limit(0)).count() == 0
+
+
+def test_reading_stops_early_and_misses_nothing():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centers = rng.normal(0, 30, (20, 32)).round()
+    data = (centers[rng.integers(0, 20, 4000)] + rng.normal(0, 3, (4000, 32))).round()
+    asked = data[:25]
+    parts = [asked[:, i : i + 8] @ data[:, i : i + 8].T for i in range(0, 32, 8)]
+    left = top_k.read_lists(parts, 6)
+    total = sum(parts)
+    for q, found in enumerate(left):
+        best = np.sort(total[q])[-6]
+        assert set(np.flatnonzero(total[q] >= best)) <= set(found.tolist())
+    assert np.mean([len(x) for x in left]) < 2000
+
+
+def test_sharding(spark, docs, table, empty):
+    limit = 20_000
+    rows = sharding.extendible_shards(spark, table, limit).collect()
+    sizes = {i: len((t or "").encode()) for i, t in docs}
+    assert {r["doc_id"]: r["bytes"] for r in rows} == sizes and len(rows) == len(docs)
+    shards = {}
+    for r in rows:
+        assert len(r["shard"]) == r["depth"]
+        shards.setdefault(r["shard"], []).append(r)
+    for name, members in shards.items():
+        assert sum(m["bytes"] for m in members) == members[0]["shard_bytes"] and len(members) == members[0]["shard_docs"]
+        assert members[0]["shard_bytes"] <= limit or len(members) == 1
+        assert not any(other != name and other.startswith(name) for other in shards)
+        # Only buckets over the limit split.
+        if name:
+            parent = [r for r in rows if r["shard"].startswith(name[:-1])]
+            assert sum(r["bytes"] for r in parent) > limit
+    assert sharding.extendible_shards(spark, empty).count() == 0
+
+
+def test_sharding_of_one_key(spark):
+    rows = [(1, "x" * 1000)] * 300 + [(None, "y")] * 3 + [(2, None)]
+    out = sharding.extendible_shards(spark, frame(spark, rows), 20_000).collect()
+    assert len(out) == 304
+    sizes = {}
+    for r in out:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["bytes"]
+    assert max(sizes.values()) <= 20_000
+
+
+def test_language(spark, table, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = language.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) >= 0.95 * len(out)
+    model = language.train(docs)
+    odd = {r["doc_id"]: r for r in language.identify_languages(table, model, ["doc_id"]).select("row.doc_id", "lang_pred", "score", "rejected").collect()}
+    for i in (9001, 9002, 9003, 9011):
+        assert (odd[i]["lang_pred"], odd[i]["score"], odd[i]["rejected"]) == ("und", 0.0, True)
+    assert all(0 <= r["score"] <= 1 for r in odd.values()) and odd[9005]["lang_pred"] in model.languages
+    assert language.language_report(empty).count() == 0
+    assert language.fit(["a b c"] * 10, ["en"] * 10).languages == ["en"]
+
+
+def test_toxicity_and_quality(spark, table, empty):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    good = quality.quality_report(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["quality"] for r in good) >= 0.97 * len(good)
+    bad = toxicity.toxicity_report(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    caught = sum(r["predicted"] == r["toxic"] == 1 for r in bad)
+    assert caught >= 0.6 * sum(r["toxic"] for r in bad) and caught >= 0.6 * sum(r["predicted"] for r in bad)
+    none = labels.limit(0)
+    for report in (quality.quality_report, toxicity.toxicity_report):
+        out = report(table, none).collect()
+        assert len(out) == table.count() and all(0 <= r["score"] <= 1 for r in out)
+        assert report(empty, labels).count() == 0
+
+
+def test_every_operator_is_registered_once(spark):
+    names = sorted(int(n[2:].split("_")[0]) for n in queries())
+    assert names == list(range(1, 11))
