@@ -40,10 +40,6 @@ def _u64(blobs) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint64)
 
 
-def _i64(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.int64)
-
-
 class _Batch:
     """The words of a batch of documents, as hashes."""
 
@@ -80,13 +76,23 @@ def _batch_number(table: pa.Table) -> int:
     return table.column("batch")[0].as_py()
 
 
-def _rows(bucket: np.ndarray, batch: int, hashes: np.ndarray, more: np.ndarray) -> pa.Table:
-    """Packed rows by bucket; ``hashes`` and ``more`` (one entry a hash, any width) are sorted by bucket."""
+def _parts(blobs: list[bytes], sizes: list[int], kinds: list[type]) -> list[np.ndarray]:
+    """The columns of packed rows, each of them whole in every blob, end to end."""
+    out, at = [], [0] * len(blobs)
+    for kind in kinds:
+        width = np.dtype(kind).itemsize
+        out.append(np.frombuffer(b"".join(b[i : i + n * width] for b, i, n in zip(blobs, at, sizes, strict=True)), kind))
+        at = [i + n * width for i, n in zip(at, sizes, strict=True)]
+    return out
+
+
+def _rows(bucket: np.ndarray, batch: int, hashes: np.ndarray, *more: np.ndarray) -> pa.Table:
+    """Packed rows by bucket; ``hashes`` and the columns in ``more`` (one entry a hash) are sorted by bucket."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     edges = np.concatenate([[0], cuts, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
     spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
     kinds = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary())])
-    return pa.table([[int(bucket[a]) for a, _ in spans], [batch] * len(spans), [hashes[a:b].tobytes() for a, b in spans], [more[a:b].tobytes() for a, b in spans]], schema=kinds)
+    return pa.table([[int(bucket[a]) for a, _ in spans], [batch] * len(spans), [hashes[a:b].tobytes() for a, b in spans], [b"".join(c[a:b].tobytes() for c in more) for a, b in spans]], schema=kinds)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -109,13 +115,13 @@ def _emit_anchors(window: int, period: int, cover: tuple[int, ...], buckets: int
     return run
 
 
-def _sent_back(batch: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> pa.Table:
+def _sent_back(batch: np.ndarray, hashes: np.ndarray, *more: np.ndarray) -> pa.Table:
     order = np.argsort(batch, kind="stable")
-    batch, hashes, more = batch[order], hashes[order], more[order]
+    batch, hashes, more = batch[order], hashes[order], [c[order] for c in more]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(batch)) + 1, [len(batch)]]) if len(batch) else np.zeros(1, int)
     spans = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
     kinds = pa.schema([("batch", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary())])
-    return pa.table([[int(batch[a]) for a, _ in spans], [hashes[a:b].tobytes() for a, b in spans], [more[a:b].tobytes() for a, b in spans]], schema=kinds)
+    return pa.table([[int(batch[a]) for a, _ in spans], [hashes[a:b].tobytes() for a, b in spans], [b"".join(c[a:b].tobytes() for c in more) for a, b in spans]], schema=kinds)
 
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
@@ -127,13 +133,13 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
     _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
     several = (times > 1) | (np.bincount(back, weights=flags, minlength=len(times)) > 0)
     keep = several[back]
-    return _sent_back(batch[keep], hashes[keep], np.zeros((int(keep.sum()), 0), np.uint8))
+    return _sent_back(batch[keep], hashes[keep])
 
 
 def _emit_windows(window: int, period: int, cover: tuple[int, ...], buckets: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if docs.num_rows == 0 or found.num_rows == 0:
-            return _rows(np.zeros(0, np.int64), 0, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return _rows(np.zeros(0, np.int64), 0, np.zeros(0, np.uint64))
         batch = _Batch(docs, window, 2)
         at, values, _ = batch.anchors(period, cover)
         shared = at[np.isin(values, _u64(found.column("hashes").to_pylist()))]
@@ -149,31 +155,27 @@ def _emit_windows(window: int, period: int, cover: tuple[int, ...], buckets: int
         new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, bool)
         heads = np.flatnonzero(new)
         tails = np.concatenate([heads[1:], [len(first)]]) - 1 if len(heads) else heads
-        several = (ids[heads] != ids[tails]).astype(np.int64)
-        more = np.stack([second[heads].view(np.int64), ids[heads], several], axis=1) if len(heads) else np.zeros((0, 3), np.int64)
-        return _rows(_bucket(first[heads], buckets), _batch_number(docs), first[heads], more)
+        several = (ids[heads] != ids[tails]).astype(np.uint8)
+        return _rows(_bucket(first[heads], buckets), _batch_number(docs), first[heads], second[heads], ids[heads], several)
 
     return run
 
 
 def _least_documents(table: pa.Table) -> pa.Table:
     blobs = table.column("hashes").to_pylist()
+    sizes = [len(b) // 8 for b in blobs]
     first = _u64(blobs)
-    more = _i64(table.column("more").to_pylist()).reshape(-1, 3)
-    batch = np.repeat(table.column("batch").to_numpy(), [len(b) // 8 for b in blobs])
-    order = np.lexsort((more[:, 0], first))
-    first, more, batch = first[order], more[order], batch[order]
-    new = np.concatenate([[True], (first[1:] != first[:-1]) | (more[1:, 0] != more[:-1, 0])]) if len(first) else np.zeros(0, bool)
+    second, lead, flag = _parts(table.column("more").to_pylist(), sizes, [np.uint64, np.int64, np.uint8])
+    batch = np.repeat(table.column("batch").to_numpy(), sizes)
+    order = np.lexsort((second, first))
+    first, second, lead, flag, batch = first[order], second[order], lead[order], flag[order], batch[order]
+    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
-    size = int(group[-1]) + 1 if len(group) else 0
-    low = np.full(size, np.iinfo(np.int64).max)
-    high = np.full(size, np.iinfo(np.int64).min)
-    np.minimum.at(low, group, more[:, 1])
-    np.maximum.at(high, group, more[:, 1])
-    several = (low != high) | (np.bincount(group, weights=more[:, 2], minlength=size) > 0)
-    keep = several[group]
-    back = np.stack([more[keep, 0], low[group[keep]]], axis=1)
-    return _sent_back(batch[keep], first[keep], back)
+    low = np.full(int(new.sum()), np.iinfo(np.int64).max)
+    np.minimum.at(low, group, lead)
+    # A batch is told where one of its documents comes after the least one.
+    keep = (lead > low[group]) | (flag > 0)
+    return _sent_back(batch[keep], first[keep], second[keep], low[group[keep]])
 
 
 def _judge(window: int):
@@ -184,10 +186,11 @@ def _judge(window: int):
         batch = _Batch(docs, window, 2)
         gone = np.zeros(len(batch.owner), bool)
         if found.num_rows:
-            first = _u64(found.column("hashes").to_pylist())
-            more = _i64(found.column("more").to_pylist()).reshape(-1, 2)
-            order = np.lexsort((more[:, 0], first))
-            first, more = first[order], more[order]
+            blobs = found.column("hashes").to_pylist()
+            first = _u64(blobs)
+            second, low = _parts(found.column("more").to_pylist(), [len(b) // 8 for b in blobs], [np.uint64, np.int64])
+            order = np.lexsort((second, first))
+            first, second, low = first[order], second[order], low[order]
             all_first, all_second = (windows(v, window) for v in batch.values)
             at = np.flatnonzero(batch.starts)
             at = at[np.isin(all_first[at], first)]
@@ -195,7 +198,7 @@ def _judge(window: int):
             slot, end = np.searchsorted(first, all_first[at], "left"), np.searchsorted(first, all_first[at], "right")
             edge = np.zeros(len(batch.owner) + 1, np.int64)
             while len(at):
-                same = (more[slot, 0] == all_second[at].view(np.int64)) & (more[slot, 1] < batch.ids[batch.owner[at]])
+                same = (second[slot] == all_second[at]) & (low[slot] < batch.ids[batch.owner[at]])
                 np.add.at(edge, at[same], 1)
                 np.add.at(edge, at[same] + window, -1)
                 slot = slot + 1
