@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from foliomill.functions.html import parse_html, serialize
 from foliomill.functions.text import trimmed
+from foliomill.operators import collect
+from foliomill.operators.batching import BatchConfig, create_batches
+from foliomill.plans.scratch import Scratch
+from foliomill.sources.pages import page_nodes
 
 SUCCESS_SHARE = 0.8
 
@@ -146,3 +155,59 @@ def retried(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
     allowed = attempts.where(F.col("attempt") <= max_retries)
     order = Window.partitionBy("batch_id").orderBy(F.desc(F.col("ok").cast("int")), F.when(F.col("ok"), F.col("attempt")).otherwise(-F.col("attempt")))
     return allowed.withColumn("n", F.row_number().over(order)).where("n = 1").select("batch_id", "attempt", "ok", (F.pow(F.lit(2.0), F.col("attempt")) - 1).cast("long").alias("waited_seconds"))
+
+
+def translate_pages(spark: SparkSession, pages: DataFrame, translator: Callable[[Column], Column], config: BatchConfig = BatchConfig(), everywhere: bool = True) -> DataFrame:
+    """(page_id, html, n_items, n_translated): pages with their texts and attributes translated.
+
+    Collects, deduplicates, packs, asks ``translator`` (a function of a request
+    column: numbered lines in, numbered lines out) once for each batch, reads
+    the answers, asks again item by item where a batch's answer lacks too many,
+    and writes the translations into the trees.  ``everywhere``: equal items
+    of a page are all translated, not the first alone.
+    """
+    scratch = Scratch(spark, "translation")
+    items = scratch.table(collect.collect_items(page_nodes(pages)), "items")
+    ranked = collect.filter_and_sort(items)
+    batched = create_batches(ranked, config).select("page_id", "batch_id", "place", "ord")
+    keyed = batched.join(ranked.select("page_id", "ord", "text", "text_type"), ["page_id", "ord"])
+    keyed = scratch.table(keyed.withColumn("key", F.struct("page_id", "batch_id")), "batches")
+    answers = read_answers(framed(keyed, "key").select("key", translator(F.col("request")).alias("response")), "key")
+    joined = scratch.table(joined_back(keyed, answers, "key"), "joined")
+    failed = unmatched(joined, judged(joined, "key"), "key")
+    single = failed.select("key", "place", translator(F.concat(F.lit("[0] "), trimmed(F.col("text")))).alias("response"))
+    again = single.select("key", "place", F.nullif(F.regexp_extract("response", r"(?s)^\s*\[0\]\s*(.*?)\s*$", 1), F.lit("")).alias("second"))
+    done = joined.join(again, ["key", "place"], "left").withColumn("translated", F.coalesce("translated", "second"))
+    done = done.where("translated is not null").select("page_id", "ord", "text", "text_type", "translated")
+    same = ["page_id", "text", "text_type"] if everywhere else ["page_id", "ord"]
+    placed = items.join(done.select(*same, "translated"), same).select("page_id", "node_id", "attr_name", "translated")
+    per_page = placed.groupBy("page_id").agg(F.collect_list(F.struct("node_id", "attr_name", "translated")).alias("changes"))
+    counted = items.groupBy("page_id").agg(F.count("*").alias("n_items"))
+    rows = pages.select("page_id", "html").join(per_page, "page_id", "left").join(counted, "page_id", "left")
+    return rows.select("page_id", "html", F.coalesce("n_items", F.lit(0)).alias("n_items"), "changes").mapInArrow(_apply, TRANSLATED)
+
+
+TRANSLATED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType()), T.StructField("n_items", T.LongType()), T.StructField("n_translated", T.LongType())])
+
+
+def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write translations into the trees; a node is known by its place in document order."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(TRANSLATED)
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            changes = r["changes"] or []
+            html = r["html"]
+            if changes:
+                document = parse_html(html or "")
+                nodes = [n for n, _ in document.walk()]
+                for c in changes:
+                    if c["attr_name"] is None:
+                        nodes[c["node_id"]].text = c["translated"]
+                    else:
+                        nodes[c["node_id"]].set(c["attr_name"], c["translated"])
+                html = serialize(document)
+            rows.append({"page_id": r["page_id"], "html": html, "n_items": r["n_items"], "n_translated": len(changes)})
+        yield pa.RecordBatch.from_pylist(rows, schema)

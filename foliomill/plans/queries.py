@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.functions import encoding as en
 from foliomill.functions import media as mf
 from foliomill.functions import text as tf
 from foliomill.functions import url as uf
@@ -728,3 +729,24 @@ def rewritten_links(spark, sf_dir):
     rows = catalog.absolute_anchors(catalog.page_anchors(pages), pages)
     counted = rows.groupBy("page_id").agg(F.count_if(F.col("proxied").isNotNull() | F.col("href").startswith("#")).alias("links"))
     return pages.select("page_id").join(counted, "page_id", "left").fillna(0, ["links"])
+
+
+@query()
+def translated_pages(spark, sf_dir):
+    """All pages through a stand-in for a translator that writes in capitals."""
+    return translation.translate_pages(spark, table(spark, sf_dir, "pages"), F.upper)
+
+
+@query("SELECT page_id, TRUE AS all_translated FROM pages")
+def translated_page_counts(spark, sf_dir):
+    done = translation.translate_pages(spark, table(spark, sf_dir, "pages"), F.upper)
+    return done.select("page_id", (F.col("n_items") == F.col("n_translated")).alias("all_translated"))
+
+
+ENCODED = [(1, "<meta charset=gb2312><p>", "你好", "gbk", "gb2312"), (2, "<p>", "é", "utf-8", "utf-8"), (3, '<meta http-equiv=content-type content="text/html; charset=iso-8859-1">', "€", "cp1252", "iso-8859-1"), (4, "<meta charset=nonsense>", "ü", "utf-8", "utf-8")]
+
+
+@query(f"SELECT id, head || body AS text, label AS charset FROM {values([(e[0], e[1], e[2], e[4]) for e in ENCODED], 'id, head, body, label')}")
+def decoded_pages(spark, sf_dir):
+    rows = literals(spark, [(i, (a + b).encode(c)) for i, a, b, c, _ in ENCODED], "id int, content binary")
+    return rows.select("id", en.decoded_page("content", F.lit(None).cast("string")).alias("d")).select("id", "d.*")

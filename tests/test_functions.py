@@ -124,3 +124,12 @@ def test_saving():
     frame = rewrite.Asset(b"<iframe src=f.html></iframe>", "https://h.example/d/f.html", "text/html")
     assert "data:text/html;base64," in saved("<iframe src=f.html></iframe>", assets={"https://h.example/d/f.html": frame})  # ends, although it holds itself
     assert "<!--noscript-->" in saved("<body><noscript>n</noscript>", unwrap_noscript=True)
+
+
+def test_encodings():
+    from foliomill.functions.encoding import codec, decode_page
+
+    assert (codec("GB2312"), codec("iso-8859-1"), codec("nonsense"), codec("")) == ("gbk", "cp1252", None, None)
+    assert decode_page("<meta charset=gb2312>你好".encode("gbk")) == ("<meta charset=gb2312>你好", "gb2312")
+    assert decode_page(b"\xff", None) == ("�", "utf-8") and decode_page(None) == ("", "utf-8")
+    assert decode_page("é".encode("latin-1"), "latin1") == ("é", "latin1")

@@ -110,3 +110,24 @@ def test_streams(spark, tmp_path):
     q = stream.cached_translations(asked).writeStream.format("memory").queryName("hits").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["text"], r["hits"]) for r in spark.table("hits").collect()) == [("a", 1), ("b", 0)]
+
+
+def test_translation_of_pages(spark):
+    from foliomill.operators import translation
+
+    pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>short</p>")], "page_id bigint, html string")
+    out = {r["page_id"]: r for r in translation.translate_pages(spark, pages, F.upper).collect()}
+    assert "<p>HELLO THERE WORLD</p>" in out[1]["html"] and out[1]["html"].count("HELLO") == 2 and 'alt="A SMALL PICTURE"' in out[1]["html"]
+    assert "no text here" in out[1]["html"] and "Never collected here" in out[1]["html"]
+    assert (out[2]["html"], out[2]["n_items"], out[3]["html"]) == (None, 0, "<p>short</p>")
+    # A translator that answers whole batches with nothing useful is asked again item by item.
+    stubborn = lambda request: F.when(request.contains("\n"), "nothing").otherwise(F.upper(request))
+    again = {r["page_id"]: r for r in translation.translate_pages(spark, pages, stubborn).collect()}
+    assert "HELLO THERE WORLD" in again[1]["html"]
+
+
+def test_retries(spark):
+    from foliomill.operators import translation
+
+    tries = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, True), (2, 0, False), (2, 3, False), (2, 9, True)], "batch_id int, attempt int, ok boolean")
+    assert sorted(tuple(r) for r in translation.retried(tries).select("batch_id", "attempt", "ok").collect()) == [(1, 1, True), (2, 3, False)]
