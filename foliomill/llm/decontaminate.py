@@ -188,7 +188,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
         last = out
         source = docs.select(F.struct(*[docs[c] for c in carry or docs.columns]).alias("row"), docs["text"].alias("text"), F.array().cast("array<bigint>").alias("runs0"), F.array().cast("array<string>").alias("items0")) if last is None else last
         found = _pass(spark, source, part, ["row", "text", "runs0", "items0"], window)
-        united = found.select("row.row", "row.text", "n_words", F.udf(join_runs, "array<bigint>")("row.runs0", "hit_runs").alias("runs0"), F.array_sort(F.array_union("row.items0", "items")).alias("items0"))
+        united = found.select("row.row", "row.text", "n_words", F.udf(join_runs, "array<bigint>", useArrow=True)("row.runs0", "hit_runs").alias("runs0"), F.array_sort(F.array_union("row.items0", "items")).alias("items0"))
         out = scratch.table(united, f"block{k}")
         if last is not None:
             scratch.drop(last)

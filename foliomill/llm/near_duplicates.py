@@ -311,7 +311,12 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, words: int =
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = ROWS) -> DataFrame:
-    """The documents with one of each component, with their own columns; of rows with equal doc_id one stays."""
+    """The documents with one of each component, with their own columns.
+
+    Of equal rows (id and text) one stays.  Rows without an id all stay, as
+    nothing could name the one to keep.
+    """
     found = near_duplicate_components(spark, docs, words, percent, bands, rows)
     kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.union(docs.where(F.col("doc_id").isNull()))
