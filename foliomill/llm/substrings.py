@@ -95,6 +95,11 @@ def _rows(bucket: np.ndarray, batch: int, hashes: np.ndarray, *more: np.ndarray)
     return pa.table([[int(bucket[a]) for a, _ in spans], [batch] * len(spans), [hashes[a:b].tobytes() for a, b in spans], [b"".join(c[a:b].tobytes() for c in more) for a, b in spans]], schema=kinds)
 
 
+def _short(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The low 48 bits as two columns; enough to tell a bucket's hashes apart, and a false match costs work only."""
+    return hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint16)
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
@@ -110,7 +115,7 @@ def _emit_anchors(window: int, period: int, cover: tuple[int, ...], buckets: int
         heads = np.flatnonzero(first)
         tails = np.concatenate([heads[1:], [len(values)]]) - 1 if len(heads) else heads
         several = (ids[heads] != ids[tails]).astype(np.uint8)
-        return _rows(_bucket(values[heads], buckets), _batch_number(table), values[heads], several)
+        return _rows(_bucket(values[heads], buckets), _batch_number(table), *_short(values[heads]), several)
 
     return run
 
@@ -126,14 +131,15 @@ def _sent_back(batch: np.ndarray, hashes: np.ndarray, *more: np.ndarray) -> pa.T
 
 def _shared_anchors(table: pa.Table) -> pa.Table:
     blobs = table.column("hashes").to_pylist()
-    hashes = _u64(blobs)
-    flags = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint8)
-    batch = np.repeat(table.column("batch").to_numpy(), [len(b) // 8 for b in blobs])
+    sizes = [len(b) // 4 for b in blobs]
+    low = np.frombuffer(b"".join(blobs), np.uint32)
+    high, flags = _parts(table.column("more").to_pylist(), sizes, [np.uint16, np.uint8])
+    batch = np.repeat(table.column("batch").to_numpy(), sizes)
     # Once for each batch: in two batches, or in two documents of one.
-    _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    _, back, times = np.unique(low | high.astype(np.uint64) << np.uint64(32), return_inverse=True, return_counts=True)
     several = (times > 1) | (np.bincount(back, weights=flags, minlength=len(times)) > 0)
     keep = several[back]
-    return _sent_back(batch[keep], hashes[keep])
+    return _sent_back(batch[keep], low[keep], high[keep])
 
 
 def _emit_windows(window: int, period: int, cover: tuple[int, ...], buckets: int):
@@ -142,7 +148,9 @@ def _emit_windows(window: int, period: int, cover: tuple[int, ...], buckets: int
             return _rows(np.zeros(0, np.int64), 0, np.zeros(0, np.uint64))
         batch = _Batch(docs, window, 2)
         at, values, _ = batch.anchors(period, cover)
-        shared = at[np.isin(values, _u64(found.column("hashes").to_pylist()))]
+        low = np.frombuffer(b"".join(found.column("hashes").to_pylist()), np.uint32)
+        high = np.frombuffer(b"".join(found.column("more").to_pylist()), np.uint16)
+        shared = at[np.isin(values & np.uint64(0xFFFFFFFFFFFF), low | high.astype(np.uint64) << np.uint64(32))]
         wanted = np.zeros(len(batch.owner) + 1, np.int64)
         # The windows that hold the run begin up to period - 1 words before it, in the same document.
         np.add.at(wanted, np.maximum(shared - period + 1, batch.words.offsets[batch.owner[shared]]), 1)
