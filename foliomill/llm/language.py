@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from foliomill.llm.labelled import SAMPLE_TEXT_BYTES, held_out, texts_of
 from foliomill.llm.rows import map_texts, unpacked
-from foliomill.llm.subword import Features, LinearText, softmax, temperature, train_embeddings
+from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, softmax, temperature, train_embeddings
 from foliomill.llm.text import plain
 
 FOLDS, HELD_OUT = 4, 2
@@ -89,7 +89,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, carry: list[str] |
     get equal results; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, lambda: shared.value.predict, RESULT, carry=carry)
+    return map_texts(docs, lambda: shared.value.predict, RESULT, carry=carry, limit=SCORED_BYTES)
 
 
 def language_report(docs: DataFrame) -> DataFrame:

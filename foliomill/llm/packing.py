@@ -34,7 +34,7 @@ END_ID = 0
 PARTITION_PIECES = 50_000
 ROUNDS = 4
 #: Chunks whose ids a task keeps, twice.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 
 PIECE = T.StructType(
     [

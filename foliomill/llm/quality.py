@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from foliomill.llm.labelled import SAMPLE_ROWS, SAMPLE_TEXT_BYTES, draw, held_out, texts_of
 from foliomill.llm.rows import map_texts, unpacked
-from foliomill.llm.subword import Features, LinearText, softmax, train_embeddings
+from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, softmax, train_embeddings
 
 FOLDS, HELD_OUT = 5, 0
 FEATURES = Features(bits=17, shortest=1, longest=3, repeats=True)
@@ -64,7 +64,7 @@ def score_quality(docs: DataFrame, model: QualityModel, carry: list[str] | None
     get equal scores; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, lambda: shared.value.predict, RESULT, carry=carry)
+    return map_texts(docs, lambda: shared.value.predict, RESULT, carry=carry, limit=SCORED_BYTES)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

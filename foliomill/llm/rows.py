@@ -30,17 +30,22 @@ def map_texts(
     """
     carry = list(docs.columns if carry is None else carry)
     row = F.struct(*[docs[c] for c in carry]).alias("row") if carry else F.struct(F.lit(1).alias("_")).alias("row")
-    source = docs.select(row, docs[text].cast("string").alias("_text"))
+    # A carried text crosses to Python once, inside the row.
+    inside = carry.index(text) if carry.count(text) == 1 and docs.schema[text].dataType == T.StringType() else None
+    source = docs.select(row) if inside is not None else docs.select(row, docs[text].cast("string").alias("_text"))
     schema = T.StructType([source.schema["row"], *result.fields])
     kinds = {f.name: f.type for f in to_arrow_schema(result)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "_text", limit):
-                made = work(part.column("_text"))
+            texts = batch.column("_text") if inside is None else batch.column("row").field(inside)
+            for start, part in slices(texts, limit):
+                made = work(part)
                 columns = [made[k] if isinstance(made[k], pa.Array) else pa.array(made[k], kind) for k, kind in kinds.items()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), *columns], ["row", *kinds])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(start, len(part)), *columns], ["row", *kinds])
+            del batch, texts
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 from foliomill.llm.text import STEP, Words, hashed, mix, plain, split_words
 
+#: Bytes of text that are scored at a time: a distinct word takes some 30 features of 16 bytes.
+SCORED_BYTES = 2 << 20
 #: Stands for "the same word as before"; holds a blank, so no word equals it.
 REPEAT = "= ="
 

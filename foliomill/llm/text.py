@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _IDENTITY = np.arange(256, dtype=np.uint8)
 #: A-Z to a-z, everything else unchanged.
@@ -27,17 +27,15 @@ LOWER_ALNUM = LOWER_ASCII.copy()
 LOWER_ALNUM[[*range(48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 32
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose ``column`` holds at most ``limit`` bytes."""
-    if batch.num_rows == 0:
-        return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """Cut texts into runs of at most ``limit`` bytes, each with its first row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
-    while start < batch.num_rows:
+    while start < len(texts):
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start)
+        yield start, texts.slice(start, stop - start)
         start = stop
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from foliomill.llm.labelled import draw, held_out, texts_of
 from foliomill.llm.rows import map_texts, unpacked
-from foliomill.llm.subword import Features, LinearText, pu_cut, sigmoid, train_nnpu
+from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, pu_cut, sigmoid, train_nnpu
 
 FOLDS, HELD_OUT = 5, 0
 FEATURES = Features(bits=18, shortest=3, longest=4, lower=True)
@@ -76,7 +76,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: list[str] | Non
     get equal scores; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_texts(docs, lambda: shared.value.predict, RESULT, carry=carry)
+    return map_texts(docs, lambda: shared.value.predict, RESULT, carry=carry, limit=SCORED_BYTES)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
