@@ -193,9 +193,11 @@ def _candidates(table: pa.Table, bands: int, rows: int) -> list[tuple[int, int,
     """Pairs (agreeing coordinates, i, j) of one block pair of a bucket that are still to be compared.
 
     They have different labels and sketches that agree enough, and share no
-    earlier band, where the pair was seen already.
+    earlier band key, where the pair was seen already.  (A sketch holds the
+    low bytes only, which agree by chance without a common bucket.)
     """
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, bands * rows)
+    keys = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, bands)
     _, number = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)
     block, first, second = table.column("block").to_numpy(), table.column("first")[0].as_py(), table.column("second")[0].as_py()
     index = table.column("index")[0].as_py()
@@ -204,11 +206,10 @@ def _candidates(table: pa.Table, bands: int, rows: int) -> list[tuple[int, int,
     for i in left.tolist():
         js = right[right > i] if first == second else right
         js = js[number[js] != number[i]]
-        same = sketch[js] == sketch[i]
-        agree = same.sum(axis=1)
+        agree = (sketch[js] == sketch[i]).sum(axis=1)
         fit = agree >= AGREEING * bands * rows
         if fit.any():
-            earlier = same[fit].reshape(-1, bands, rows)[:, :index].all(axis=2).any(axis=1)
+            earlier = (keys[js[fit], :index] == keys[i, :index]).any(axis=1)
             out += [(int(n), i, j) for n, j, seen in zip(agree[fit].tolist(), js[fit].tolist(), earlier.tolist(), strict=True) if not seen]
     return out
 
@@ -293,7 +294,7 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, words: int =
     rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("index", (F.array_position("bands", F.col("band")) - 1).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = rest.withColumn("other", each).select("band", "index", "node", "label", "sketch", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    paired = rest.withColumn("other", each).select("band", "index", "node", "label", "sketch", "bands", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     flagged = scratch.table(paired.groupBy("band", "first", "second").applyInArrow(_flag(bands, rows), paired.schema), "flagged")
     texts = slim.select(F.col("doc_id").alias("lead"), "text")
     whole = flagged.join(named.select("node", "lead"), "node").join(texts, "lead").select(*paired.columns, "text")

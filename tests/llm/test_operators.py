@@ -93,6 +93,21 @@ def test_sketches_fill_and_estimate():
     assert abs((sketch[0] == sketch[1]).mean() - 0.6) < 0.1
 
 
+def test_pair_whose_low_bytes_agree_in_an_earlier_band_is_compared():
+    """Nodes share the second band; in the first one only the low bytes agree, so no bucket held both."""
+    import numpy as np
+    import pyarrow as pa
+
+    sketch = np.arange(1, 9, dtype=np.uint64)[None, :].repeat(2, axis=0)
+    sketch[1, :4] += np.uint64(256)
+    bands = near_duplicates._bands(sketch, 2)
+    assert (bands[0] == bands[1]).tolist() == [False, True]
+    columns = {"sketch": [s.astype(np.uint8).tobytes() for s in sketch], "bands": bands.tolist(), "label": [b"a", b"b"], "block": [0, 0], "first": [0, 0], "second": [0, 0], "index": [1, 1]}
+    assert near_duplicates._candidates(pa.table(columns), 2, 4) == [(8, 0, 1)]
+    columns["bands"] = [bands[0].tolist()] * 2  # one bucket held both before
+    assert near_duplicates._candidates(pa.table(columns), 2, 4) == []
+
+
 def test_substrings(spark, docs, table, empty):
     rows = substrings.remove_repeats(spark, table, batch_bytes=40_000, bucket_bytes=20_000).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute.repeats(docs)
