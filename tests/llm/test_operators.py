@@ -155,6 +155,14 @@ def test_token_efficiency_finds_random_strings_only():
     assert spans == [(4, 44, "random")] and secrets.redact(text, spans) == "key [SECRET] end"
 
 
+def test_random_strings_after_an_equals_sign():
+    known = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    drawn = "wJalrXUtnFEMIK7MDENGbPxRfiCYzq8T4vLs"
+    for before in ("AWS_SESSION_KEY=", "https://host.example/a?sig=", "<a data-x=", "A_QUITE_LONG_NAME_OF_A_SETTING=", "=="):
+        spans = secrets.all_spans(f"{before}{drawn}== end", known)
+        assert spans == [(len(before), len(before) + len(drawn) + 2, "random")]
+
+
 def check_packing(rows, docs, size=packing.SEQUENCE_TOKENS):
     from tokenizers import Tokenizer
 
