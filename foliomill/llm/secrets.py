@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +27,8 @@ from foliomill.llm.text import plain
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Strings under this many characters for each token count as random.
 CHARS_PER_TOKEN = 2.1
+#: Identifiers have this many letters for each token of their parts at least, whatever the case; of random strings 0.1 % do.
+LETTERS_PER_TOKEN = 2.25
 SHORTEST, LONGEST = 20, 512
 
 KINDS = ("assign", "access", "hex", "random")
@@ -50,11 +52,22 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_identifier(run: str) -> bool:
-    """Names, paths and slugs: word-like parts of three or more letters make up most of it."""
+@lru_cache(1 << 14)
+def _cost(part: str, vocabulary: tiktoken.Encoding) -> int:
+    """Tokens of a part in the cheapest of the ways it can be written as a word."""
+    low = part.lower()
+    ways = {part, low, low.capitalize(), f" {low}", f" {low.capitalize()}"}
+    return min(map(len, vocabulary.encode_ordinary_batch(list(ways), num_threads=1)))
+
+
+def is_identifier(run: str, vocabulary: tiktoken.Encoding) -> bool:
+    """Names, paths and slugs: at least half of the letters and digits are letters, in parts that tokenise like words."""
     parts = _PARTS.findall(run)
-    worded = sum(len(p) for p in parts if len(p) >= 3 and not p[0].isdigit())
-    return worded >= 0.75 * sum(map(len, parts))
+    worded = [p for p in parts if not p[0].isdigit()]
+    letters = sum(map(len, worded))
+    if 2 * letters < sum(map(len, parts)):
+        return False
+    return letters >= LETTERS_PER_TOKEN * sum(_cost(p[i : i + LONGEST], vocabulary) for p in worded for i in range(0, len(p), LONGEST))
 
 
 def is_random(run: str, vocabulary: tiktoken.Encoding, ratio: float = CHARS_PER_TOKEN) -> bool:
@@ -62,11 +75,13 @@ def is_random(run: str, vocabulary: tiktoken.Encoding, ratio: float = CHARS_PER_
     body = run.rstrip("=")
     if not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
         return False
-    if _DIGEST.match(body) or _UUID.match(body) or _NUMERIC.match(body) or is_identifier(body):
+    if _DIGEST.match(body) or _UUID.match(body) or _NUMERIC.match(body):
         return False
     # Random strings stay random in every stretch, so a long one is judged by its stretches.
     cuts = [body[i : i + LONGEST] for i in range(0, len(body), LONGEST)]
-    return len(body) < ratio * sum(map(len, vocabulary.encode_ordinary_batch(cuts, num_threads=1)))
+    if len(body) >= ratio * sum(map(len, vocabulary.encode_ordinary_batch(cuts, num_threads=1))):
+        return False
+    return not is_identifier(body, vocabulary)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

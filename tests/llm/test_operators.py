@@ -163,6 +163,25 @@ def test_random_strings_after_an_equals_sign():
         assert spans == [(len(before), len(before) + len(drawn) + 2, "random")]
 
 
+def recall(alphabet, size):
+    known = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    rng = random.Random(size)
+    return sum(secrets.is_random("".join(rng.choices(alphabet, k=size)), known) for _ in range(300)) / 300
+
+
+@pytest.mark.parametrize("size", [20, 24, 32, 40])
+def test_recall_of_random_strings_by_alphabet(size):
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (upper + "234567", upper + digits, upper.lower() + digits, upper + upper.lower() + digits):
+        assert recall(alphabet, size) >= 0.95
+
+
+def test_identifiers_in_capitals_are_not_random():
+    known = secrets.encoding(public_tokenizers.path(secrets.VOCABULARY))
+    names = ["COPY_FILE_ALLOW_DECRYPTED_DESTINATION2", "CONDA_TARBALL_EXTENSION_V1", "C_EOL_PRESERVE_SPACE2", "HAVE_LINUX_VM_SOCKETS_H"]
+    assert not any(secrets.is_random(n, known) for n in names)
+
+
 def check_packing(rows, docs, size=packing.SEQUENCE_TOKENS):
     from tokenizers import Tokenizer
 
