@@ -14,6 +14,8 @@ is connected and give back links, not pairs.  Comparison is always on whole sets
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from foliomill.plans.scratch import Scratch
 WORDS, PERCENT = 3, 85
 #: 24 bands of 4: a pair at 0.85 shares no bucket with probability (1 - 0.85**4)**24, about 2e-8.
 BANDS, ROWS = 24, 4
-#: Pairs across components are compared if this many sketch coordinates of all agree; the mean at 0.85 is 0.85 of them, five deviations up.
-AGREEING = 0.66
+#: Pairs across components are compared if enough sketch coordinates agree: a pair at the threshold falls short with this probability at most.
+SHORT_OF = 1e-8
 #: Rows that one comparing task gets on average, and nodes of a block in a bucket with several components.
 GROUP_ROWS, BLOCK_NODES = 256, 512
 
@@ -189,7 +191,18 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, p
     return keyed.join(texts, "lead").select("group", "center", "node", "is_center", "text").groupBy("group").applyInArrow(_compare(words, percent), "a binary, b binary")
 
 
-def _candidates(table: pa.Table, bands: int, rows: int) -> list[tuple[int, int, int]]:
+@cache
+def least_agreeing(percent: int, size: int) -> int:
+    """The largest number of ``size`` coordinates that a pair at ``percent`` falls short of with probability ``SHORT_OF`` at most."""
+    p, below = percent / 100, 0.0
+    for k in range(size):
+        below += math.comb(size, k) * p**k * (1 - p) ** (size - k)
+        if below > SHORT_OF:
+            return k
+    return size
+
+
+def _candidates(table: pa.Table, bands: int, rows: int, percent: int) -> list[tuple[int, int, int]]:
     """Pairs (agreeing coordinates, i, j) of one block pair of a bucket that are still to be compared.
 
     They have different labels and sketches that agree enough, and share no
@@ -207,18 +220,18 @@ def _candidates(table: pa.Table, bands: int, rows: int) -> list[tuple[int, int,
         js = right[right > i] if first == second else right
         js = js[number[js] != number[i]]
         agree = (sketch[js] == sketch[i]).sum(axis=1)
-        fit = agree >= AGREEING * bands * rows
+        fit = agree >= least_agreeing(percent, bands * rows)
         if fit.any():
             earlier = (keys[js[fit], :index] == keys[i, :index]).any(axis=1)
             out += [(int(n), i, j) for n, j, seen in zip(agree[fit].tolist(), js[fit].tolist(), earlier.tolist(), strict=True) if not seen]
     return out
 
 
-def _flag(bands: int, rows: int):
+def _flag(bands: int, rows: int, percent: int):
     """The nodes of a block pair that have a pair to compare."""
 
     def run(table: pa.Table) -> pa.Table:
-        at = sorted({x for _, i, j in _candidates(table, bands, rows) for x in (i, j)})
+        at = sorted({x for _, i, j in _candidates(table, bands, rows, percent) for x in (i, j)})
         return table.take(pa.array(at, pa.int64()))
 
     return run
@@ -243,7 +256,7 @@ def _link(words: int, percent: int, bands: int, rows: int):
             return x
 
         a, b = [], []
-        for _, i, j in sorted(_candidates(table, bands, rows), reverse=True):
+        for _, i, j in sorted(_candidates(table, bands, rows, percent), reverse=True):
             x, y = find(label[i]), find(label[j])
             if x == y or not (real[i] and real[j]):
                 continue
@@ -295,7 +308,7 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, words: int =
     rest = rest.withColumn("index", (F.array_position("bands", F.col("band")) - 1).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = rest.withColumn("other", each).select("band", "index", "node", "label", "sketch", "bands", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-    flagged = scratch.table(paired.groupBy("band", "first", "second").applyInArrow(_flag(bands, rows), paired.schema), "flagged")
+    flagged = scratch.table(paired.groupBy("band", "first", "second").applyInArrow(_flag(bands, rows, percent), paired.schema), "flagged")
     texts = slim.select(F.col("doc_id").alias("lead"), "text")
     whole = flagged.join(named.select("node", "lead"), "node").join(texts, "lead").select(*paired.columns, "text")
     more = scratch.table(whole.groupBy("band", "first", "second").applyInArrow(_link(words, percent, bands, rows), "a binary, b binary"), "linked")

@@ -103,9 +103,28 @@ def test_pair_whose_low_bytes_agree_in_an_earlier_band_is_compared():
     bands = near_duplicates._bands(sketch, 2)
     assert (bands[0] == bands[1]).tolist() == [False, True]
     columns = {"sketch": [s.astype(np.uint8).tobytes() for s in sketch], "bands": bands.tolist(), "label": [b"a", b"b"], "block": [0, 0], "first": [0, 0], "second": [0, 0], "index": [1, 1]}
-    assert near_duplicates._candidates(pa.table(columns), 2, 4) == [(8, 0, 1)]
+    assert near_duplicates._candidates(pa.table(columns), 2, 4, 85) == [(8, 0, 1)]
     columns["bands"] = [bands[0].tolist()] * 2  # one bucket held both before
-    assert near_duplicates._candidates(pa.table(columns), 2, 4) == []
+    assert near_duplicates._candidates(pa.table(columns), 2, 4, 85) == []
+
+
+@pytest.mark.parametrize(("percent", "bands"), [(85, 24), (80, 32)])
+def test_few_pairs_at_the_threshold_agree_too_little_to_be_compared(percent, bands):
+    """A pair with the least agreeing number of coordinates is compared; the binomial tail under it is at most 1e-8."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    size, p = 4 * bands, percent / 100
+    tail = lambda k: sum(math.comb(size, i) * p**i * (1 - p) ** (size - i) for i in range(k))
+    least = max(k for k in range(size) if tail(k) <= 1e-8)
+    for same in (least, least - 1):
+        sketch = np.arange(size, dtype=np.uint8)[None, :].repeat(2, axis=0)
+        sketch[1, same:] += np.uint8(100)
+        bands_of = [[1] * bands, [1] + [2] * (bands - 1)]
+        columns = {"sketch": [s.tobytes() for s in sketch], "bands": bands_of, "label": [b"a", b"b"], "block": [0, 0], "first": [0, 0], "second": [0, 0], "index": [0, 0]}
+        assert near_duplicates._candidates(pa.table(columns), bands, 4, percent) == ([(same, 0, 1)] if same == least else [])
 
 
 def test_substrings(spark, docs, table, empty):
