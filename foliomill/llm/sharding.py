@@ -39,10 +39,12 @@ def extendible_shards(spark: SparkSession, docs: DataFrame, limit: int = SHARD_B
 
     A shard holds at most ``limit`` bytes of UTF-8 text, or a single document.
     Null texts have 0 bytes.  Rows of equal key share a shard unless they
-    exceed the limit together; then they are told apart by row number.  An
-    empty table gives no rows.  The text is read once; dealt and joined are
+    exceed the limit together; then they are told apart by row number, down to
+    one row a shard.  An empty table gives no rows.  Other columns are not
+    read, whatever their names.  The text is read once; dealt and joined are
     three numbers for each document, and the directory, a few rows for each
-    shard, stays distributed.
+    shard, stays distributed.  A round's tables are deleted when the next has
+    taken their place.
     """
     scratch = Scratch(spark, "sharding")
     size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long")
@@ -51,6 +53,7 @@ def extendible_shards(spark: SparkSession, docs: DataFrame, limit: int = SHARD_B
     out, left = [], slim
     total, start = slim.agg(F.sum("bytes")).first()[0] or 0, 0
     while True:
+        # Each round goes on at the depth where the last one ended, up to all bits of both hashes.
         more = max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS
         end = min(start + more, 2 * KEY_BITS)
         if start < KEY_BITS:
@@ -74,8 +77,10 @@ def extendible_shards(spark: SparkSession, docs: DataFrame, limit: int = SHARD_B
         placed = scratch.table(placed, "placed")
         out.append(placed.where("bucket is not null"))
         left = placed.where("bucket is null").select("k", "bytes", "h", "g")
+        for done in (slim, leaves, directory):
+            scratch.drop(done)
         # A key that fills a leaf alone shares all further bits of its hash with itself.
-        start = end if several else KEY_BITS
+        start = end if several or end > KEY_BITS else KEY_BITS
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)

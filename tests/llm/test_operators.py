@@ -315,6 +315,31 @@ def test_sharding_of_one_key(spark):
     assert max(sizes.values()) <= 20_000
 
 
+def check_shards(rows, out, limit):
+    """Every row is placed, no shard of several rows is too large, and no shard is part of another."""
+    assert sorted((str(r["doc_id"]), r["bytes"]) for r in out) == sorted((str(i), len((t or "").encode())) for i, t in rows)
+    shards = {}
+    for r in out:
+        shards.setdefault(r["shard"], []).append(r["bytes"])
+    assert all(sum(x) <= limit or len(x) == 1 for x in shards.values())
+    names = sorted(shards)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+    return shards
+
+
+@pytest.mark.parametrize("size", [900, 501, 500, 1500])
+def test_sharding_of_one_key_whose_rows_are_near_the_limit(spark, size):
+    rows = [(1, "x" * size)] * 200
+    out = sharding.extendible_shards(spark, frame(spark, rows), 1000).collect()
+    shards = check_shards(rows, out, 1000)
+    assert size == 500 or len(shards) == 200
+
+
+def test_sharding_of_hot_keys_among_others(spark):
+    rows = [(1, "x" * 900)] * 60 + [(None, "y" * 600)] * 40 + [(i, "z" * 300) for i in range(2, 60)] + [(7, None), (8, "")]
+    check_shards(rows, sharding.extendible_shards(spark, frame(spark, rows), 1000).collect(), 1000)
+
+
 def test_language(spark, table, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language.language_report(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
