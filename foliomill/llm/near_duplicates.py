@@ -32,8 +32,12 @@ WORDS, PERCENT = 3, 85
 BANDS, ROWS = 24, 4
 #: Pairs across components are compared if enough sketch coordinates agree: a pair at the threshold falls short with this probability at most.
 SHORT_OF = 1e-8
-#: Rows that one comparing task gets on average, and nodes of a block in a bucket with several components.
-GROUP_ROWS, BLOCK_NODES = 256, 512
+#: Shingles that a comparing task gets on average beside those of the centers.
+GROUP_SHINGLES = 1 << 17
+#: Nodes and shingles that a block of a bucket with several components has on average, whichever makes more blocks.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
+#: A key of a join is hot if it has more than one row in HOT_KEYS, and more than HOT_ROWS; so there are at most HOT_KEYS.
+HOT_KEYS, HOT_ROWS = 4096, 20_000
 
 SIGNATURE = T.StructType(
     [
@@ -121,6 +125,21 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def join_spread(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has at most one row for each ``key``; rows of a hot key stay where they are.
+
+    The rows of ``right`` for the hot keys of ``left``, at most ``HOT_KEYS``
+    of them as each has that share of the rows, are broadcast; only the rest
+    is dealt by key.  ``left`` is a written table, so counting it is cheap.
+    """
+    total = left.count()
+    if total <= HOT_ROWS:
+        return left.join(right, key, how)
+    many = left.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, total // HOT_KEYS)).select(key)
+    hot = left.join(F.broadcast(many), key, "left_semi").join(F.broadcast(right.join(F.broadcast(many), key, "left_semi")), key, how)
+    return hot.unionByName(left.join(F.broadcast(many), key, "left_anti").join(right, key, how))
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) for every node on an edge (a, b); connected nodes share a label.
 
@@ -137,12 +156,13 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         least = scratch.table(least, "least")
         hop = least.alias("x").join(least.alias("y"), F.col("x.to") == F.col("y.from"), "left").select(F.col("x.from").alias("from"), F.coalesce("y.to", "x.to").alias("to"))
         hop = scratch.table(hop, "hop")
-        labels_next = labels.join(hop, labels["label"] == hop["from"], "left").select("node", F.coalesce("to", "label").alias("label"))
+        labels_next = join_spread(labels, hop.withColumnRenamed("from", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         labels_next = scratch.table(labels_next, "labels")
         a, b = hop.select(F.col("from").alias("a"), F.col("to").alias("ta")), hop.select(F.col("from").alias("b"), F.col("to").alias("tb"))
-        fewer = edges.join(a, "a").join(b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct()
+        half = scratch.table(join_spread(edges, a, "a"), "half")
+        fewer = join_spread(half, b, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct()
         fewer = scratch.table(fewer, "edges")
-        for old in (edges, labels, least, hop):
+        for old in (edges, labels, least, hop, half):
             scratch.drop(old)
         edges, labels = fewer, labels_next
         if edges.isEmpty():
@@ -172,23 +192,31 @@ def _compare(words: int, percent: int):
     return run
 
 
+def _may_link(percent: int) -> str:
+    """Sets whose sizes differ too much can't be similar enough."""
+    return f"100 * least(size, center_size) >= {percent} * greatest(size, center_size)"
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (center, node) that are similar enough, compared on the shingles of their whole texts.
 
-    A center's partners are dealt into chunks, and its text goes to each of
-    them, so a center with very many partners is compared in many tasks.
+    A center's partners are dealt into chunks by their size, and its text goes
+    to each of them, so a center with very many partners, or very long ones,
+    is compared in many tasks.
     """
-    pairs = scratch.table(pairs.where("center <> node").distinct(), "pairs")
-    many = pairs.groupBy("center").agg(F.count("*").alias("many"))
-    total = pairs.count()
-    groups = max(1, -(-total // (GROUP_ROWS // 2)))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / F.lit(GROUP_ROWS))).alias("chunk")
-    dealt = pairs.join(many, "center").select("center", "node", chunk)
+    pairs = scratch.table(pairs.where("center <> node").where(_may_link(percent)).select("center", "node", "size").distinct(), "pairs")
+    chunks = pairs.groupBy("center").agg(F.ceil(F.sum("size") / F.lit(GROUP_SHINGLES)).alias("chunks"))
+    total = pairs.agg(F.sum("size")).first()[0] or 0
+    groups = max(1, -(-total // GROUP_SHINGLES))
+    dealt = join_spread(pairs, chunks, "center").select("center", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
     rows = dealt.withColumn("is_center", F.lit(False)).unionByName(dealt.select("center", F.col("center").alias("node"), "chunk", F.lit(True).alias("is_center")).distinct())
     rows = rows.withColumn("group", F.pmod(F.xxhash64("center", "chunk"), F.lit(groups)))
     keyed = rows.join(nodes.select("node", "lead"), "node")
     texts = docs.select(F.col("doc_id").alias("lead"), "text")
-    return keyed.join(texts, "lead").select("group", "center", "node", "is_center", "text").groupBy("group").applyInArrow(_compare(words, percent), "a binary, b binary")
+    compared = keyed.join(texts, "lead").select("group", "center", "node", "is_center", "text").groupBy("group").applyInArrow(_compare(words, percent), "a binary, b binary")
+    made = scratch.table(compared, "verified")
+    scratch.drop(pairs)
+    return made
 
 
 @cache
@@ -284,26 +312,34 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, words: int =
     doc_id are kept or dropped alike; a null doc_id takes the least id of its
     component, null if there is none, and isn't kept.
 
+    Other columns of ``docs`` aren't read, whatever their names.
+
     Shuffled are the 16-byte nodes with their band keys, and the texts of
-    documents with a candidate; never a text for each band.
+    documents with a candidate: a text goes to each chunk of each center it is
+    compared with, and in the second round to each pair of blocks in which it
+    has a pair still to compare, both of which may be as many as its bands.
+    Tasks are bounded in shingles (``GROUP_SHINGLES``, ``BLOCK_SHINGLES``), a
+    single longer text apart.
     """
     scratch = Scratch(spark, "near-duplicates")
     slim = docs.select("doc_id", "text")
     signed = scratch.table(signatures(slim, ["doc_id"], words, bands, rows), "signatures")
-    grouped = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    grouped = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = scratch.table(grouped, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = scratch.table(banded.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("many")).where("many > 1"), "buckets")
-    members = scratch.table(banded.join(shared, "band"), "members")
+    banded = scratch.table(nodes.select("node", "size", F.explode("bands").alias("band")), "banded")
+    least = F.min(F.struct(F.col("node").alias("center"), F.col("size").alias("center_size"))).alias("least")
+    shared = scratch.table(banded.groupBy("band").agg(least, F.count("*").alias("many"), F.sum("size").alias("shingles")).where("many > 1").select("band", "least.*", "many", "shingles"), "buckets")
+    members = scratch.table(join_spread(banded, shared, "band"), "members")
+    scratch.drop(banded)
     named = nodes.where("lead is not null")
-    edges = scratch.table(_verified(members.select("center", "node"), named, slim, words, percent, scratch), "verified")
+    edges = _verified(members, named, slim, words, percent, scratch)
     label_of = components(spark, edges, scratch)
 
-    labelled = members.select("band", "node", "many").join(label_of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = scratch.table(labelled, "labelled")
+    found = members.select("band", "node", "many", "shingles").join(label_of, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = scratch.table(found, "labelled")
     mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    rest = labelled.join(mixed, "band", "left_semi").join(nodes.select("node", "sketch", "bands"), "node")
-    blocks = F.ceil(F.col("many") / F.lit(BLOCK_NODES)).cast("int")
+    rest = join_spread(labelled, mixed, "band", "left_semi").join(nodes.select("node", "sketch", "bands"), "node")
+    blocks = F.ceil(F.greatest(F.col("many") / F.lit(BLOCK_NODES), F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("int")
     rest = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("index", (F.array_position("bands", F.col("band")) - 1).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -316,10 +352,14 @@ def near_duplicate_components(spark: SparkSession, docs: DataFrame, words: int =
         scratch.drop(label_of)
         label_of = components(spark, edges.union(more), scratch)
 
-    class_of = nodes.select("node", "lead").join(label_of, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = class_of.groupBy("label").agg(F.min("lead").alias("component_id"))
-    by_node = class_of.join(least, "label").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    class_of = scratch.table(nodes.select("node", "lead").join(label_of, "node", "left").withColumn("label", F.coalesce("label", "node")), "classes")
+    component = class_of.groupBy("label").agg(F.min("lead").alias("component_id"))
+    by_node = scratch.table(join_spread(class_of, component, "label").select("node", "component_id"), "components")
+    for done in (nodes, shared, members, edges, label_of, labelled, flagged, more, class_of):
+        scratch.drop(done)
+    # Empty sets have no node; they would meet under the null key.
+    alone = signed.where("node is null").select("node", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = join_spread(signed.select("doc_id", "n_shingles", "node").where("node is not null"), by_node, "node", "left").select(alone.columns).union(alone)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
@@ -328,9 +368,11 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = 5
     """The documents with one of each component, with their own columns.
 
     Of equal rows (id and text) one stays.  Rows without an id all stay, as
-    nothing could name the one to keep.
+    nothing could name the one to keep.  Null and wordless texts stay.
     """
     found = near_duplicate_components(spark, docs, words, percent, bands, rows)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.union(docs.where(F.col("doc_id").isNull()))
+    kept = found.where("kept").select(F.struct("doc_id").alias("key")).distinct()
+    # Inside structs no column of the documents can clash with the key.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.struct(docs["doc_id"].alias("doc_id")).alias("key"))
+    named = whole.join(kept, "key", "left_semi").select("row.*").dropDuplicates(["doc_id", "text"])
+    return named.union(docs.where(docs["doc_id"].isNull()))

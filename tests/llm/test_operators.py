@@ -84,6 +84,63 @@ def test_near_duplicates_of_repeated_rows_and_nulls(spark, empty):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "None", "None"] and kept.columns == frame(spark, rows).columns
 
 
+def families(rng, count, size, shift, apart):
+    """Texts in families: each member differs from its family's base in ``shift`` words, its twin from it in ``apart``."""
+    out, number = [], iter(range(10**6))
+    for f in range(count):
+        base = [f"f{f}w{i}" for i in range(size)]
+        for m in range(6):
+            member, other = list(base), f"f{f}m{m}"
+            for at in rng.sample(range(size), shift):
+                member[at] = f"{other}s{at}"
+            twin = list(member)
+            for at in rng.sample(range(size), apart):
+                twin[at] = f"{other}t{at}"
+            out += [(next(number), " ".join(member)), (next(number), " ".join(twin))]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("percent, shift, apart, bands, rows", [(85, 8, 3, 24, 4), (60, 16, 9, 32, 2)])
+def test_thousands_of_planted_pairs_that_stars_miss(spark, percent, shift, apart, bands, rows):
+    """Twins are just similar enough, and share buckets with family members that are not."""
+    texts = families(random.Random(percent), 250, 120, shift, apart)
+    expected = {}
+    by_family = {}
+    for i, t in texts:
+        by_family.setdefault(t.split()[0].split("w")[0].split("m")[0], []).append((i, t))
+    for members in by_family.values():
+        expected |= brute.components(members, percent=percent)
+    linked = sum(i != c for i, (_, c) in expected.items())
+    assert linked >= 1000 and linked < 0.6 * len(texts)
+    rows_ = near_duplicates.near_duplicate_components(spark, frame(spark, texts), percent=percent, bands=bands, rows=rows).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_} == expected
+
+
+def test_near_duplicates_with_hot_keys_blocks_and_long_texts(spark, monkeypatch):
+    """With small bounds every join has hot keys and every bucket several blocks; the result is the same."""
+    for name, value in (("HOT_ROWS", 20), ("HOT_KEYS", 16), ("GROUP_SHINGLES", 500), ("BLOCK_NODES", 4), ("BLOCK_SHINGLES", 2000)):
+        monkeypatch.setattr(near_duplicates, name, value)
+    rng = random.Random(8)
+    texts = families(rng, 6, 120, 8, 3)
+    long = [f"l{i}" for i in range(3000)]
+    for k in range(40):  # one large group of near copies, some of them long
+        near = list(long if k % 4 else long[:400])
+        near[rng.randrange(len(near))] = f"changed{k}"
+        texts.append((5000 + k, " ".join(near)))
+    texts += [(6000 + k, "the same text " * 3) for k in range(40)] + [(7000 + k, None) for k in range(40)]
+    rows = near_duplicates.near_duplicate_components(spark, frame(spark, texts)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute.components(texts)
+
+
+def test_without_near_duplicates_takes_any_column_names(spark):
+    data = [(1, "a b c d e f", 1, "x"), (2, "a b c d e f", 2, "y"), (3, None, 3, "z"), (None, "q", 4, "n")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, _kept bigint, key string")
+    kept = near_duplicates.without_near_duplicates(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["_kept"], r["key"]) for r in kept.collect()) == [("1", 1, "x"), ("3", 3, "z"), ("None", 4, "n")]
+
+
 def test_sketches_fill_and_estimate():
     import numpy as np
 
