@@ -1,27 +1,31 @@
 """Exact top-k inner products by aggregation without random access.
 
-A vector's score for a query is the sum of its scores in a few groups of
-dimensions.  Each group gives a list of the block's vectors by falling partial
-score, and the lists are read from the top, all to the same depth.  What has
-been read bounds every score from below and above: an unread part is at most
-the last value read from its list and at least the list's smallest.  Reading
-stops when no vector outside what the upper bounds admit can be among the best,
-and the scores of those that are left are summed in full.
+A vector's score for a query is the sum of its components' contributions.  Each
+dimension of a block is a list of the block's vectors, put in order once; a
+query reads it from the end that contributes most, entry after entry.  What has
+been read bounds every score: an unread contribution is at most the last one
+read from its list, and all unread ones together are at least minus the product
+of the lengths of the unread parts of query and vector.  Reading stops when only
+few vectors can still be among the best, seen or not; the scores of those few
+are then summed in full.  No score is looked up before that.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE, BEST = 256, 5
-LISTS = 4
-#: Vectors of a block and queries of a group, on average; entries read from each list at first, and how that grows.
+#: Vectors of a block and queries of a group, on average.
 BLOCK_ROWS, GROUP_QUERIES = 8192, 8192
-FIRST_DEPTH, DEEPER = 128, 4
-QUERY_BATCH = 64
+#: Shares of a list after which the bounds are compared; at the end all is read and known.
+DEPTHS = (1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 9 / 16, 5 / 8, 11 / 16, 3 / 4, 7 / 8, 1)
+#: A query stops reading when at most this share of the block's vectors is left.
+LEFT_SHARE = 1 / 16
 
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
@@ -31,38 +35,58 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)
 
 
-def read_lists(parts: list[np.ndarray], keep: int) -> list[np.ndarray]:
-    """For each query the vectors that may be among its ``keep`` best.
-
-    ``parts`` holds, for each list, partial scores (queries x vectors).
-    """
-    queries, size = parts[0].shape
-    out: list[np.ndarray] = [np.arange(size)] * queries
-    open_ = np.arange(queries)
-    floors = [p.min(axis=1, keepdims=True) for p in parts] if size else []
-    depth = FIRST_DEPTH
-    while size > keep and depth < size and len(open_):
-        low = np.zeros((len(open_), size))
-        high = np.zeros((len(open_), size))
-        outside = np.zeros(len(open_))
-        for p, floor in zip(parts, floors, strict=True):
-            part = p[open_]
-            # The list is sorted as far as it is read: this is its value at the depth.
-            last = np.partition(part, size - depth, axis=1)[:, size - depth][:, None]
-            read = part >= last
-            low += np.where(read, part, floor[open_])
-            high += np.where(read, part, last)
-            outside += last[:, 0]
-        bound = np.partition(low, size - keep, axis=1)[:, size - keep]
-        done = outside < bound
-        for row in np.flatnonzero(done).tolist():
-            out[open_[row]] = np.flatnonzero(high[row] >= bound[row])
-        open_ = open_[~done]
-        depth *= DEEPER
-    return out
-
-
-def _search(best: int, lists: int):
+class Lists:
+    """The vectors of a block in order of each dimension."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.size, self.width = vectors.shape
+        self.vectors = vectors.astype(np.float64)
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()
+        self.sorted = np.take_along_axis(self.vectors.T, self.order, axis=1)
+        self.place = np.empty((self.size, self.width), np.int32)
+        np.put_along_axis(self.place, self.order.T, np.arange(self.size, dtype=np.int32)[:, None], axis=0)
+        self.lengths = (self.vectors**2).sum(axis=1)
+
+    def best(self, query: np.ndarray, keep: int) -> tuple[np.ndarray, int]:
+        """The vectors that may be among the ``keep`` best for a query, and how many entries were read to tell.
+
+        Sums are in doubles; the bounds are wider by more than their rounding
+        can amount to, so they hold for integers of any size.
+        """
+        size, q = self.size, query.astype(np.float64)
+        if size <= keep:
+            return np.arange(size), 0
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        rounding = self.width * 1e-14
+        slack = np.abs(q).sum() * np.abs(self.sorted).max(initial=0.0) * rounding
+        known, last, depth = np.zeros(size), np.zeros(self.width), 0
+        for share in DEPTHS:
+            to = max(depth, min(size, math.ceil(share * size)))
+            for lists, part, end in ((up, slice(size - to, size - depth), size - to), (down, slice(depth, to), to - 1)):
+                value = self.sorted[lists, part] * q[lists, None]
+                known += np.bincount(self.order[lists, part].reshape(-1), value.reshape(-1), minlength=size)
+                last[lists] = self.sorted[lists, end] * q[lists]
+            depth = to
+            # Any vectors give a bound on the best; those with the largest sums so far give a good one.
+            lead = np.argpartition(known, size - min(size, 4 * keep))[size - min(size, 4 * keep) :]
+            unread = self._unread(lead, q, depth)
+            ahead = (unread * q**2).sum(axis=1) + rounding * (q**2).sum()
+            behind = np.maximum(self.lengths[lead] - (~unread * self.vectors[lead] ** 2).sum(axis=1), 0) + rounding * self.lengths[lead]
+            bound = np.sort(known[lead] - np.sqrt(ahead * behind))[-keep] - slack
+            left = np.flatnonzero(known + np.maximum(last, 0).sum() + slack >= bound)
+            if 2 * len(left) <= size or depth == size:
+                left = left[known[left] + self._unread(left, q, depth) @ last + slack >= bound]
+            if len(left) <= max(keep, LEFT_SHARE * size) or depth == size:
+                break
+        return left, depth * (len(up) + len(down))
+
+    def _unread(self, rows: np.ndarray, q: np.ndarray, depth: int) -> np.ndarray:
+        """Whether the entry of each row in each list that counts lies beyond ``depth``."""
+        place = self.place[rows]
+        return ((q > 0) & (place < self.size - depth)) | ((q < 0) & (place >= depth))
+
+
+def _search(best: int):
     def run(data: pa.Table, queries: pa.Table) -> pa.Table:
         kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if data.num_rows == 0 or queries.num_rows == 0:
@@ -76,27 +100,24 @@ def _search(best: int, lists: int):
         vectors, group = np.unique(whole, axis=0, return_inverse=True)
         by_group = np.argsort(group.reshape(-1), kind="stable")
         begin = np.searchsorted(group.reshape(-1)[by_group], np.arange(len(vectors) + 1))
-        query_ids, query = queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"), width)
-        exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, width) < 2**53
-        kind = np.float64 if exact else object
-        cuts = np.linspace(0, width, min(lists, max(1, width)) + 1).astype(int)
-        table, asked = vectors.astype(kind), query.astype(kind)
+        query_ids, asked = queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"), width)
+        narrow = float(np.abs(vectors).max(initial=0)) * float(np.abs(asked).max(initial=0)) * max(1, width) < 2**63
+        lists = Lists(vectors)
+        if not narrow:
+            vectors, asked = vectors.astype(object), asked.astype(object)
         a, b, c = [], [], []
-        for i in range(0, len(query), QUERY_BATCH):
-            some = asked[i : i + QUERY_BATCH]
-            parts = [some[:, s:e] @ table[:, s:e].T for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-            left = read_lists(parts, best + 1) if exact else [np.arange(len(vectors))] * len(some)
-            for j, found in enumerate(left):
-                own = query_ids[i + j]
-                score = sum(p[j, found] for p in parts)
-                if len(found) > best + 1:  # of equal scores all stay, as the smaller ids win
-                    edge = np.partition(score, len(score) - best - 1)[len(score) - best - 1] if exact else sorted(score)[-best - 1]
-                    found, score = found[score >= edge], score[score >= edge]
-                rows = [(-int(s), int(v)) for f, s in zip(found.tolist(), score.tolist(), strict=True) for v in ids[by_group[begin[f] : min(begin[f + 1], begin[f] + best + 1)]] if v != own]
-                for s, v in sorted(rows)[:best]:
-                    a.append(int(own))
-                    b.append(v)
-                    c.append(-s)
+        for own, query in zip(query_ids.tolist(), asked, strict=True):
+            # One more than wanted, as the query itself may be among them.
+            left, _ = lists.best(query, best + 1)
+            score = vectors[left] @ query
+            if len(left) > best + 1:  # of equal scores all stay, as the smaller ids win
+                edge = sorted(score.tolist())[-best - 1]
+                left, score = left[score >= edge], score[score >= edge]
+            rows = [(-int(s), int(v)) for f, s in zip(left.tolist(), score.tolist(), strict=True) for v in ids[by_group[begin[f] : min(begin[f + 1], begin[f] + best + 1)]] if v != own]
+            for s, v in sorted(rows)[:best]:
+                a.append(own)
+                b.append(v)
+                c.append(-s)
         return pa.table([a, b, c], schema=kinds)
 
     return run
@@ -110,7 +131,7 @@ def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.withColumn("width", F.size("vector")).distinct()
 
 
-def top_inner_products(vectors: DataFrame, chosen: str = "vec_id % 50 = 0", best: int = BEST, scale: int = SCALE, block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES, lists: int = LISTS) -> DataFrame:
+def top_inner_products(vectors: DataFrame, chosen: str = "vec_id % 50 = 0", best: int = BEST, scale: int = SCALE, block_rows: int = BLOCK_ROWS, group_queries: int = GROUP_QUERIES) -> DataFrame:
     """The ``best`` vectors of highest inner product for each chosen query: query_id, rank, vec_id, score.
 
     Ties go to the smaller vec_id; a query isn't its own answer; queries with
@@ -132,6 +153,6 @@ def top_inner_products(vectors: DataFrame, chosen: str = "vec_id % 50 = 0", best
     data = whole.withColumn("block", deal(blocks)).withColumn("group", each(groups))
     asked = asked.withColumn("group", deal(groups)).withColumn("block", each(blocks))
     keys = ["width", "block", "group"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(best, lists), FOUND)
+    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(best), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("query_id", "rank", "vec_id", "score")
