@@ -27,10 +27,19 @@ def draw(rows: DataFrame, count: int) -> list:
     return rows.orderBy(order, "doc_id").limit(count).collect()
 
 
+def short_enough(known: DataFrame, docs: DataFrame, most: int = SAMPLE_TEXT_BYTES) -> DataFrame:
+    """The labelled rows that have a text of at most ``most`` bytes, so that a draw from them gives texts."""
+    return known.join(docs.where(F.octet_length("text") <= most).select("doc_id"), "doc_id", "left_semi")
+
+
 def texts_of(docs: DataFrame, wanted: dict, most: int = SAMPLE_TEXT_BYTES) -> list[tuple[object, str]]:
-    """Pairs (doc_id, text) of the wanted ids, in order; ``wanted`` is a bounded sample."""
+    """Pairs (doc_id, text) of the wanted ids, in order; ``wanted`` is a bounded sample.
+
+    Of several texts of one id the least is taken; longer ones, nulls and ids
+    without a text give none.
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = spark.createDataFrame([(k,) for k in wanted], f"doc_id {kind}")
-    found = docs.where(F.octet_length("text") <= most).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    found = docs.where(F.octet_length("text") <= most).join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     return sorted((tuple(r) for r in found.collect()), key=lambda r: str(r[0]))

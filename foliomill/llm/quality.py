@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.llm.labelled import SAMPLE_ROWS, SAMPLE_TEXT_BYTES, draw, held_out, texts_of
+from foliomill.llm.labelled import SAMPLE_ROWS, SAMPLE_TEXT_BYTES, draw, held_out, short_enough, texts_of
 from foliomill.llm.rows import map_texts, unpacked
 from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, softmax, train_embeddings
 
@@ -43,12 +43,16 @@ def fit(texts: list[str], labels: list[int], features: Features = FEATURES) -> Q
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_TEXT_BYTES) -> QualityModel:
     """Fit on at most ``rows`` texts of each label among the rows that are not held out.
 
-    Both labels are drawn alike; the softmax bias is then moved by the log odds
+    Labels other than 0 and 1, null keys and labels without a text of at most
+    ``most_bytes`` take no part; a repeated id counts once, as good if any of
+    its labels is; without both labels the score is constant.  Only doc_id and
+    quality of ``labels`` are read.  Both labels are drawn alike; the softmax bias is then moved by the log odds
     of the labels among all labelled rows, so scores stand for the real mix.
     """
-    known = labels.where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good, bad = known.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
-    wanted = {r["doc_id"]: q for q in (0, 1) for r in draw(known.where(F.col("quality") == q).select("doc_id"), rows)}
+    texts = short_enough(known, docs, most_bytes)
+    wanted = {r["doc_id"]: q for q in (0, 1) for r in draw(texts.where(F.col("quality") == q).select("doc_id"), rows)}
     found = texts_of(docs, wanted, most_bytes)
     drawn = [wanted[k] for k, _ in found]
     fitted = fit([t for _, t in found], drawn)

@@ -8,7 +8,7 @@ slice of texts and summing: the cost is that of splitting the text.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -87,11 +87,13 @@ class LinearText:
     bias: np.ndarray
     spread: bool = False
     piece: int | None = None
+    index: np.ndarray | None = None
 
     def scores(self, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
         """One row of outputs for each text; the bias alone for a text without words."""
         words = self.features.words(texts)
         owner, found = self.features.of(words.distinct)
+        found = found if self.index is None else self.index[found]
         share = self.features.shares(owner, len(words.distinct))
         codes, text = words.codes.astype(np.int64), words.owner
         pieces = np.ones(len(words.offsets) - 1, np.int64)
@@ -112,6 +114,18 @@ class LinearText:
             out = np.maximum.reduceat(out, np.cumsum(pieces) - pieces, axis=0)
         return out + self.bias
 
+    def add_output(self, ones: np.ndarray) -> None:
+        """One more output: the share of a text's features that ``ones`` marks by number.
+
+        Numbers that have no column of their own yet share one with all that are marked alike.
+        """
+        most = self.table.shape[1]
+        columns = np.concatenate([self.table, np.zeros((len(self.table), 1))], axis=1)
+        index = np.where((self.index == most - 1) & ones, most, self.index).astype(np.int32)
+        last = np.zeros((1, most + 1))
+        last[0, index[ones]] = 1
+        self.table, self.index, self.bias = np.concatenate([columns, last]), index, np.concatenate([self.bias, [0.0]])
+
 
 def softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -162,22 +176,23 @@ class _Bags:
 
 
 def _sums(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Rows of ``values`` (one per dimension) summed by index."""
-    return np.stack([np.bincount(index, weights=v, minlength=size) for v in values])
+    """Rows of ``values`` summed by index."""
+    return np.stack([np.bincount(index, weights=v, minlength=size) for v in values.T], axis=1)
 
 
 def train_embeddings(features: Features, texts: list[str], labels: np.ndarray, classes: int, dim: int = 8, epochs: int = 4, rate: float = 0.5, batch: int = 32, least_steps: int = 300, seed: int = 1) -> LinearText:
     """Averaged subword embeddings under a linear softmax, by plain stochastic gradient descent.
 
-    The learned embeddings and the softmax weights are multiplied out, so the
+    Only features that occur have an embedding; the others count as zero.  The
+    learned embeddings and the softmax weights are multiplied out, so the
     result scores words without the embeddings themselves.  Few texts are gone
     through more often, so that there are ``least_steps`` steps.
     """
     rng = np.random.default_rng(seed)
-    buckets = 1 << features.bits
-    embed = rng.uniform(-1 / dim, 1 / dim, (dim, buckets))
-    weights, bias = rng.normal(0, 0.1, (dim, classes)), np.zeros(classes)
     bags = _Bags(features, texts, spread=False)
+    met, bags.found = np.unique(bags.found, return_inverse=True)
+    embed = rng.uniform(-1 / dim, 1 / dim, (len(met), dim))
+    weights, bias = rng.normal(0, 0.1, (dim, classes)), np.zeros(classes)
     rounds = -(-len(texts) // batch)
     epochs = max(epochs, -(-least_steps // max(1, rounds)))
     steps, done = epochs * rounds, 0
@@ -188,30 +203,84 @@ def train_embeddings(features: Features, texts: list[str], labels: np.ndarray, c
             now = rate * (1 - done / steps)
             done += 1
             doc, entry, share, owner, found, part, count = bags.batch(docs)
-            vectors = _sums(owner, embed[:, found] * part, count)
-            hidden = _sums(doc, vectors[:, entry] * share, len(docs)).T
+            begin = np.flatnonzero(np.diff(owner, prepend=-1))
+            vectors = np.add.reduceat(embed[found] * part[:, None], begin, axis=0) if count else np.zeros((0, dim))
+            hidden = _sums(doc, vectors[entry] * share[:, None], len(docs))
             error = softmax(hidden @ weights + bias)
             error[np.arange(len(docs)), labels[docs]] -= 1
-            back = error @ weights.T
+            on_texts = error @ weights.T
             weights -= now * hidden.T @ error / len(docs)
             bias -= now * 0.1 * error.mean(axis=0)
-            on_words = _sums(entry, back.T[:, doc] * share, count)
-            step = np.unique(found, return_inverse=True)
-            embed[:, step[0]] -= now * RATE_SCALE / len(docs) * _sums(step[1], on_words[:, owner] * part, len(step[0]))
-    return LinearText(features, np.ascontiguousarray((embed.T @ weights).T), bias)
+            on_words = _sums(entry, on_texts[doc] * share[:, None], count)
+            which, back = np.unique(found, return_inverse=True)
+            embed[which] -= now * RATE_SCALE / len(docs) * _sums(back, on_words[owner] * part[:, None], len(which))
+    index = np.full(1 << features.bits, len(met), np.int32)
+    index[met] = np.arange(len(met))
+    table = np.zeros((classes, len(met) + 1))
+    table[:, : len(met)] = (embed @ weights).T
+    return LinearText(features, table, bias, index=index)
 
 
 #: A word's gradient is shared by its features, so their step is this many times longer.
 RATE_SCALE = 200.0
 
 
+def met_features(features: Features, texts: list[str], least: int = 2) -> np.ndarray:
+    """The feature numbers that words of at least ``least`` of the texts have."""
+    words = features.words(pa.array(texts, pa.string()))
+    owner, found = features.of(words.distinct)
+    count = max(1, len(words.distinct))
+    often = np.bincount(np.unique(words.owner * count + words.codes) % count, minlength=count)
+    number, back = np.unique(found, return_inverse=True)
+    return number[np.bincount(back, weights=often[owner], minlength=len(number)) >= least]
+
+
+def left_out_shares(features: Features, shortest: int, texts: list[str], fold: np.ndarray, least: int = 2) -> np.ndarray:
+    """For each text the share of its words' features that ``met_features`` of the texts of other folds would hold."""
+    words = features.words(pa.array(texts, pa.string()))
+    count = max(1, len(words.distinct))
+    owner, found = features.of(words.distinct)
+    share = features.shares(owner, count)
+    own, longer = replace(features, shortest=shortest).of(words.distinct)
+    text, word = np.divmod(np.unique(words.owner * count + words.codes), count)
+    out = np.zeros(len(texts))
+    for k in np.unique(fold).tolist():
+        often = np.bincount(word[fold[text] != k], minlength=count)
+        met = np.bincount(longer, weights=often[own], minlength=1 << features.bits) >= least
+        each = np.bincount(owner, weights=share * met[found], minlength=count)
+        total = np.bincount(words.owner, weights=each[words.codes], minlength=len(texts)) / np.maximum(1, words.counts)
+        out[fold == k] = total[fold == k]
+    return out
+
+
+def passages(texts: list[str], words: int, seed: int = 3) -> list[str]:
+    """Of each text a stretch of at most so many words, at a random place."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for text in texts:
+        split = text.split()
+        begin = int(rng.integers(0, max(1, len(split) - words + 1)))
+        out.append(" ".join(split[begin : begin + words]))
+    return out
+
+
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The divisor of the logits that makes held-out labels likeliest, from a fixed grid."""
+    """The divisor of the logits that makes held-out labels likeliest.
+
+    A grid that moves on while its best value is at an end: where every label
+    is right a lower divisor is always better, and the last one is taken.
+    """
     if len(labels) == 0:
         return 1.0
-    grid = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+    loss = lambda t: -np.log(np.maximum(softmax(logits / t)[np.arange(len(labels)), labels], 1e-12)).mean()
+    centre = 0.0
+    for _ in range(8):
+        grid = np.exp(centre + np.linspace(-2, 2, 41))
+        best = int(np.argmin([loss(t) for t in grid]))
+        centre = float(np.log(grid[best]))
+        if 0 < best < len(grid) - 1:
+            break
+    return float(np.exp(centre))
 
 
 #: The weight of scaled features before training.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.llm.labelled import draw, held_out, texts_of
+from foliomill.llm.labelled import draw, held_out, short_enough, texts_of
 from foliomill.llm.rows import map_texts, unpacked
 from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, pu_cut, sigmoid, train_nnpu
 
@@ -55,14 +55,17 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE_ROWS, unl
     """Fit on bounded samples of confirmed toxic rows and of all rows, none of them held out.
 
     The class prior is the share of toxic rows among the labelled ones that
-    are not held out; all of those are counted.
+    are not held out; all of those are counted.  Null keys, null labels and
+    texts of over ``most_bytes`` take no part; a repeated id counts once, as
+    toxic if any of its labels is; without toxic rows every score is 0.  Only
+    doc_id and toxic of ``labels`` are read.
     """
     fits = ~held_out(F.col("doc_id"), FOLDS, HELD_OUT)
-    known = labels.where(fits).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select("doc_id", "toxic").where(fits).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count("toxic"), F.sum("toxic")).first()
     if not toxic:
         return ToxicityModel(None, 0.0)
-    confirmed = {r["doc_id"]: 1 for r in draw(known.where("toxic = 1").select("doc_id"), positive)}
+    confirmed = {r["doc_id"]: 1 for r in draw(short_enough(known.where("toxic = 1"), docs, most_bytes).select("doc_id"), positive)}
     texts = docs.where(fits & (F.octet_length("text") <= most_bytes))
     anyone = {r["doc_id"]: 0 for r in draw(texts.select("doc_id"), unlabelled)}
     found = texts_of(texts, anyone | confirmed, most_bytes)

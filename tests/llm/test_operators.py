@@ -5,6 +5,7 @@ import random
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
@@ -263,6 +264,38 @@ def test_identifiers_in_capitals_are_not_random():
     assert secrets.all_spans(prose, known) == []
 
 
+def test_decontamination_with_one_large_item_and_repeated_windows(spark):
+    """One item holds most of the benchmark and is spread over many tables; a window of hundreds of items is one pattern."""
+    rng = random.Random(6)
+    big = [f"b{rng.randrange(3000)}" for _ in range(60_000)]
+    bench = [("big", " ".join(big)), ("big", " ".join(big[:100])), ("short", "only four words here"), ("none", None), (None, PASSAGE), ("empty", " .,")]
+    bench += [(f"same{i}", PASSAGE) for i in range(300)]
+    texts = [(i, " ".join(["x", *big[a : a + n], "y"])) for i, (a, n) in enumerate([(0, 10), (16_380, 20), (59_990, 10), (30_000, 9), (20_000, 500)])]
+    texts += [(10, "A b " + PASSAGE.upper() + " c"), (11, "only four words, here!"), (12, None), (13, ""), (14, "only four words")]
+    table = spark.createDataFrame(bench, "item_id string, text string")
+    plain = brute.contamination(texts, [(i, t) for i, t in bench if i is not None])
+    expected = {i: (n, h, len(x), hashlib.sha256(",".join(sorted(x)).encode()).hexdigest(), h > 0) for i, (n, h, x) in plain.items()}
+    for limit in (decontaminate.PATTERN_BYTES, 40_000):
+        shared = decontaminate.benchmark_tables(spark, table, pattern_bytes=limit)
+        assert (len(shared) > 5) == (limit < 10**6)
+        rows = decontaminate.contamination_report(decontaminate.find_contamination(spark, frame(spark, texts), table, ["doc_id"], pattern_bytes=limit)).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows} == expected
+
+
+def test_benchmark_tables_take_a_few_bytes_for_each_byte_of_text():
+    import pickle
+    import tracemalloc
+
+    rng = random.Random(7)
+    items = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(1000))) for i in range(500)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    made = decontaminate.compile_items(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * size and len(pickle.dumps(made, 5)) < 8 * size
+
+
 def check_packing(rows, docs, size=packing.SEQUENCE_TOKENS):
     from tokenizers import Tokenizer
 
@@ -326,20 +359,34 @@ def test_top_k(spark):
     assert top_k.top_inner_products(table.limit(0)).count() == 0
 
 
-def test_reading_stops_early_and_misses_nothing():
+@pytest.mark.parametrize("scale", [150, 2**40])
+def test_lists_are_read_in_part_and_lose_none_of_the_best(scale):
     import numpy as np
 
-    rng = np.random.default_rng(2)
-    centers = rng.normal(0, 30, (20, 32)).round()
-    data = (centers[rng.integers(0, 20, 4000)] + rng.normal(0, 3, (4000, 32))).round()
-    asked = data[:25]
-    parts = [asked[:, i : i + 8] @ data[:, i : i + 8].T for i in range(0, 32, 8)]
-    left = top_k.read_lists(parts, 6)
-    total = sum(parts)
-    for q, found in enumerate(left):
-        best = np.sort(total[q])[-6]
-        assert set(np.flatnonzero(total[q] >= best)) <= set(found.tolist())
-    assert np.mean([len(x) for x in left]) < 2000
+    rng = np.random.default_rng(4)
+    for size, width in ((3000, 64), (3000, 16), (40, 8), (6, 3), (3, 1), (1, 5), (0, 4)):
+        vectors = np.floor(scale * rng.normal(size=(size, width))).astype(np.int64)
+        queries = np.concatenate([vectors[:20], np.zeros((1, width), np.int64), np.floor(scale * rng.normal(size=(20, width))).astype(np.int64)])
+        lists = top_k.Lists(vectors)
+        left, entries = map(list, zip(*[lists.best(q, 6) for q in queries]))
+        score = vectors.astype(object) @ queries.T.astype(object)
+        for q, found in enumerate(left):
+            edge = sorted(score[:, q].tolist())[-6:][0] if size else 0
+            assert {i for i in range(size) if score[i, q] >= edge} <= set(found.tolist())
+        if size == 3000:
+            assert np.mean(entries) < 0.8 * size * width
+            assert np.mean([len(x) for x in left]) < 0.1 * size
+        assert max(entries) <= size * width
+
+
+def test_lists_of_clustered_vectors_are_hardly_read():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    vectors = np.floor(20 * rng.normal(size=(4000, 32))).astype(np.int64)
+    vectors[:30] = np.floor(256 * np.sign(rng.normal(size=32)) + 3 * rng.normal(size=(30, 32)))
+    lists = top_k.Lists(vectors)
+    assert all(lists.best(q, 6)[1] <= 0.07 * vectors.size for q in vectors[:10])
 
 
 def test_sharding(spark, docs, table, empty):
@@ -410,6 +457,56 @@ def test_language(spark, table, empty):
     assert language.fit(["a b c"] * 10, ["en"] * 10).languages == ["en"]
 
 
+UNSEEN = [
+    "Wczoraj wieczorem poszliśmy do starego kina, gdzie pokazywano film o żeglarzach i dalekich morzach",
+    "Każdego ranka sąsiadka podlewa kwiaty na balkonie i rozmawia ze swoim kotem o pogodzie",
+    "La mattina seguente il vecchio pescatore scese lentamente verso la spiaggia per riparare le reti",
+    "Gisteren hebben wij met de buren gesproken over de nieuwe verwarming en het lekkende dak van de schuur",
+    "Eilen illalla kävelimme pitkin rantaa ja katselimme kuinka aurinko laski hitaasti mereen",
+    "Talvella järvi jäätyy ja lapset luistelevat siellä koulun jälkeen pimeään asti",
+    "Dün akşam eski arkadaşlarımla birlikte deniz kenarında yürüdük ve uzun uzun konuştuk",
+    "Çocuklar bahçede oynarken yaşlı adam gölgede oturup gazetesini okuyordu",
+    "Вчера вечером мы гуляли по берегу моря и долго говорили о детстве",
+    "昨天晚上我们沿着海边散步谈论了很多关于童年的事情",
+    "昨日の夜、私たちは海辺を散歩しながら子供の頃の話をしました",
+    "어제 저녁에 우리는 바닷가를 걸으며 어린 시절 이야기를 나누었다",
+    "Χθες το βράδυ περπατήσαμε δίπλα στη θάλασσα και μιλήσαμε για τα παιδικά μας χρόνια",
+    "मैं कल शाम अपने दोस्तों के साथ समुद्र के किनारे टहल रहा था",
+    "def main(args): return [x.strip() for x in open(args[0]) if x and not x.startswith('#')]",
+    "for (int i = 0; i < n; ++i) { sum += values[i] * weights[i]; } return sqrtf(sum / n);",
+    "SELECT k, count(*) FROM t LEFT JOIN u USING (k) GROUP BY k HAVING max(v) > 3 ORDER BY 2",
+    "xkcd bvnm qwrt plkj hgfd zxcv mnbv trwq pskd vbnx zzkq wrtp",
+    "zq8f kk2j 0xff a1b2 c3d4 qq7w mmn3 e5r6 uvw9 pp0o lk8j hg6f",
+    "Bukan hanya kami yang menunggu hujan reda di bawah pohon besar itu kemarin sore",
+]
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_rejection_of_unseen_languages_code_and_noise(spark, sf, least):
+    """Most texts of kinds that training never met are rejected, and at most one in a hundred of the rightly named ones."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = language.train(docs)
+    odd = model.predict(pa.array(UNSEEN))
+    assert sum(odd["rejected"]) >= least * len(UNSEEN)
+    out = language.identify_languages(docs, model).where("row.lang = lang_pred").agg(F.count("*"), F.count_if("rejected")).first()
+    assert out[1] <= 0.01 * out[0] and out[0] > 0.95 * docs.count()
+
+
+def test_labels_of_long_texts_repeated_rows_and_clashing_columns(spark):
+    """Long texts don't use up the draw; labels may repeat, be null or hold any other column."""
+    text = lambda i, q: (f"alpha beta gamma {i} delta" if q else f"zeta !! eta 77 {i} theta") * 4
+    rows = [(i, text(i, i % 2) + (" pad" * 5000 if i < 300 else "")) for i in range(600)]
+    docs = frame(spark, rows + rows[:20] + [(None, "alpha"), (5000, None)])
+    marks = [(i, i % 2, i % 2, "t", 0.5) for i, _ in rows] + [(1, 1, 1, "t", 0.5), (2, None, None, "t", 0.5), (None, 1, 1, "t", 0.5), (9999, 1, 1, "t", 0.5)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int, text string, score double")
+    model = quality.train(docs, labels, rows=60)
+    got = model.predict(pa.array([text(1, 1), text(2, 0)]))["score"]
+    assert got[0] > 0.7 and got[1] < 0.3
+    model = toxicity.train(docs, labels, positive=60, unlabelled=150)
+    got = model.predict(pa.array([text(1, 1), text(2, 0)]))["score"]
+    assert got[0] > 0.5 > got[1]
+
+
 def test_toxicity_and_quality(spark, table, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -417,7 +514,7 @@ def test_toxicity_and_quality(spark, table, empty):
     assert sum(r["predicted"] == r["quality"] for r in good) >= 0.97 * len(good)
     bad = toxicity.toxicity_report(docs, labels).join(labels, "doc_id").where("held_out").collect()
     caught = sum(r["predicted"] == r["toxic"] == 1 for r in bad)
-    assert caught >= 0.6 * sum(r["toxic"] for r in bad) and caught >= 0.6 * sum(r["predicted"] for r in bad)
+    assert caught >= 0.7 * sum(r["toxic"] for r in bad) and caught >= 0.7 * sum(r["predicted"] for r in bad)
     none = labels.limit(0)
     for report in (quality.quality_report, toxicity.toxicity_report):
         out = report(table, none).collect()
