@@ -80,7 +80,7 @@ def rewrite_css(css: str, reference: Callable[[str, str, bool], str | None], no_
         if kind == "string":
             value = unescape_css(text[1:-1] if len(text) > 1 and text[-1] == text[0] else text[1:])
             if function and function[-1] == "url":
-                new = reference(value, prop, importing) if value else ""
+                new = reference(value, prop, False) if value else ""  # quoted inside url(): embedded, not followed
                 shown = string(new) if new else ""
             elif importing and not function:
                 new = reference(value, prop, True)
@@ -98,7 +98,7 @@ def rewrite_css(css: str, reference: Callable[[str, str, bool], str | None], no_
         elif kind == "function":
             function.append(text[:-1].lower())
         elif kind == "at":
-            rule = text[1:].lower()
+            rule, prop = text[1:].lower(), ""
             if no_fonts and rule == "font-face":
                 shown = ""
         elif kind == "number":

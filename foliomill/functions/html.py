@@ -9,6 +9,7 @@ parenting of stray table content, templates, and SVG name adjustments.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -84,18 +85,15 @@ class Node:
     def find(self, *steps: str) -> list[Node]:
         """Elements reached by a path of descendant steps, in document order."""
         found: list[Node] = []
-
-        def look(node: Node, at: int) -> None:
-            for c in node.children:
-                if c.kind == "element" and c.tag == steps[at]:
-                    if at == len(steps) - 1:
-                        found.append(c)
-                    else:
-                        look(c, at + 1)
-                        continue
-                look(c, at)
-
-        look(self, 0)
+        stack = [(c, 0) for c in reversed(self.children)]
+        while stack:
+            node, at = stack.pop()
+            if node.kind == "element" and node.tag == steps[at]:
+                if at == len(steps) - 1:
+                    found.append(node)
+                else:
+                    at += 1
+            stack.extend((c, at) for c in reversed(node.children))
         return found
 
     def content(self) -> str:
@@ -163,9 +161,21 @@ class _Builder:
         self.head: Node | None = None
         self.body: Node | None = None
         self.stack: list[Node] = []
+        self.open: Counter[str] = Counter()  # how often each tag is on the stack
         self.reopen: list[Node] = []
         self.after_head = False
 
+    def reset(self, *nodes: Node) -> None:
+        self.stack, self.open = list(nodes), Counter(n.tag for n in nodes)
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.open[node.tag] += 1
+
+    def place(self, node: Node) -> int:
+        """Where an open node is on the stack, looked for from the inside."""
+        return next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i] is node)
+
     def root(self) -> Node:
         if self.html is None:
             self.html = self.document.add(Node("element", "html"))
@@ -174,24 +184,27 @@ class _Builder:
     def start_head(self) -> Node:
         if self.head is None:
             self.head = self.root().add(Node("element", "head"))
-            self.stack = [self.html, self.head]
+            self.reset(self.html, self.head)
         return self.head
 
     def start_body(self) -> Node:
         self.start_head()
         if self.body is None:
             self.body = self.html.add(Node("element", "body"))
-            self.stack = [self.html, self.body]
+            self.reset(self.html, self.body)
         return self.body
 
     def pop_to(self, node: Node) -> None:
         """Close a node and all open ones in it, remembering formatting elements to open again."""
-        i = self.stack.index(node)
+        i = self.place(node)
         if i:
             self.reopen += [n for n in self.stack[i + 1 :] if n.tag in FORMATTING]
+            self.open.subtract(n.tag for n in self.stack[i:])
             del self.stack[i:]
 
     def in_scope(self, tags: frozenset[str] | set[str], ends: frozenset[str]) -> Node | None:
+        if not any(self.open[t] for t in tags):
+            return None
         for n in reversed(self.stack):
             if n.tag in tags:
                 return n
@@ -201,7 +214,7 @@ class _Builder:
 
     def restore(self) -> None:
         for n in self.reopen:
-            self.stack.append(self.stack[-1].add(Node("element", n.tag, attrs=list(n.attrs))))
+            self.push(self.stack[-1].add(Node("element", n.tag, attrs=list(n.attrs))))
         self.reopen = []
 
     def text(self, text: str) -> None:
@@ -242,12 +255,12 @@ class _Builder:
                 head = self.start_head()
                 node = head.add(Node("element", tag, attrs=attrs))
                 if tag not in VOID:
-                    self.stack = [self.html, head, node]
+                    self.reset(self.html, head, node)
                 return
             if tag == "frameset":
                 self.start_head()
                 self.body = self.html.add(Node("element", "frameset", attrs=attrs))
-                self.stack = [self.html, self.body]
+                self.reset(self.html, self.body)
                 return
             self.start_body()
         if tag in BLOCKS and (p := self.in_scope({"p"}, SCOPE_ENDS)):
@@ -258,23 +271,24 @@ class _Builder:
                 self.pop_to(open_)
         if tag in ("tr", "tbody", "thead", "tfoot", "td", "th"):
             if tag in ("tr", "td", "th") and self.stack[-1].tag == "table":
-                self.stack.append(self.stack[-1].add(Node("element", "tbody")))
+                self.push(self.stack[-1].add(Node("element", "tbody")))
             if tag in ("td", "th") and self.stack[-1].tag in ("tbody", "thead", "tfoot"):
-                self.stack.append(self.stack[-1].add(Node("element", "tr")))
+                self.push(self.stack[-1].add(Node("element", "tr")))
         elif tag == "a" and (a := self.in_scope({"a"}, SCOPE_ENDS)):
             self.pop_to(a)
         if tag not in BLOCKS and tag not in CLOSED_BY:
             self.restore()
         node = self.stack[-1].add(Node("element", tag, attrs=attrs))
         if tag not in VOID and not (closed and self.in_scope({"svg", "math"}, frozenset())):
-            self.stack.append(node)
+            self.push(node)
 
     def end(self, tag: str) -> None:
         if self.body is None:
             if tag == "head" and self.head is not None:
-                self.stack, self.after_head = [self.html], True
+                self.reset(self.html)
+                self.after_head = True
             elif len(self.stack) > 1 and self.stack[-1].tag == tag:
-                self.stack = self.stack[:-1] if self.head in self.stack else [self.html]
+                self.reset(*(self.stack[:-1] if self.head in self.stack else [self.html]))
             elif tag in ("html", "body", "br"):
                 self.start_body()
             return
@@ -291,7 +305,7 @@ class _Builder:
         if node is None or node in (self.html, self.body):
             self.reopen = [n for n in self.reopen if n.tag != tag] if tag in FORMATTING else self.reopen
             return
-        between = self.stack[self.stack.index(node) + 1 :]
+        between = self.stack[self.place(node) + 1 :]
         if tag not in FORMATTING and tag not in BLOCKS and any(n.tag in BLOCKS for n in between):
             return
         self.pop_to(node)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 from urllib.parse import urldefrag
 
 from foliomill.functions import css as css_rules
@@ -18,8 +18,9 @@ BLANK = (
     "data:image/png,"
     "%89PNG%0D%0A%1A%0A%00%00%00%0DIHDR%00%00%00%0D%00%00%00%0D%08%04%00%00%00%D8%E2%2C%F7%00%00%00%11IDATx%DAcd%C0%09%18G%A5%28%96%02%00%0A%F8%00%0E%CB%8A%EB%16%00%00%00%00IEND%AEB%60%82"
 )
-#: How deep frames are followed, and white space that separates the parts of a srcset.
-MAX_FRAMES = 4
+#: How deep frames, and noscript elements in one another, are followed; deeper ones stay as they are.
+MAX_FRAMES, MAX_NOSCRIPTS = 4, 32
+#: White space that separates the parts of a srcset.
 _BLANKS = " \t\n\f\r"
 
 
@@ -42,6 +43,12 @@ class Options:
     encoding: str | None = None
 
 
+def with_options(options: Options, changes: dict[str, str] | None) -> Options:
+    """Options with some of them changed by name; switches are on for ``true``, and an unknown name is an error."""
+    kinds = {f.name: f.type for f in fields(Options)}
+    return replace(options, **{k: v.strip().lower() == "true" if kinds[k] == "bool" else v for k, v in (changes or {}).items()})
+
+
 @dataclass
 class Asset:
     data: bytes
@@ -58,6 +65,7 @@ class Page:
     assets: dict[str, Asset] = field(default_factory=dict)
     asked: dict[str, str] = field(default_factory=dict)
     depth: int = 0
+    noscripts: int = 0
 
     def find(self, base: str, url: str, kind: str) -> Asset | None:
         whole = urldefrag(url)[0]
@@ -188,10 +196,9 @@ def _img(page: Page, base: str, n: Node) -> None:
     if page.options.no_images:
         for name in ("src", "data-src"):
             if n.get(name) is not None:
-                n.set(name, BLANK if n.get(name) else "")
+                n.set(name, BLANK)
     elif not src and not lazy:
-        if n.get("src") is not None or n.get("data-src") is not None:
-            n.set("src", "")
+        n.set("src", "")
     else:
         embed(page, base, n, "src", lazy or src)
     if n.get("srcset"):
@@ -272,12 +279,16 @@ def _anchor(page: Page, base: str, n: Node) -> None:
 
 
 def _noscript(page: Page, base: str, n: Node) -> None:
+    if page.noscripts >= MAX_NOSCRIPTS:
+        return
+    page.noscripts += 1
     for c in [c for c in n.children if c.kind == "text"]:
         inner = parse_html(c.text)
         walk(page, base, inner)
         body = inner.child("html").child("body")
         head = inner.child("html").child("head")
         c.text = "".join(serialize(x) for x in [*(head.children if head else []), *(body.children if body else [])])
+    page.noscripts -= 1
 
 
 def _svg_image(page: Page, base: str, n: Node) -> None:
@@ -357,15 +368,19 @@ _EVENTS = frozenset(EVENT_ATTRIBUTES)
 
 def walk(page: Page, base: str, node: Node) -> None:
     """Apply the rules from the top down; children are read after their parent has changed."""
-    for c in list(node.children):
-        if c.kind == "element":
+    stack = [iter(list(node.children))]
+    while stack:
+        c = next(stack[-1], None)
+        if c is None:
+            stack.pop()
+        elif c.kind == "element":
             if handler := HANDLERS.get(c.tag):
                 handler(page, base, c)
             if c.get("style") is not None:
                 c.set("style", None if page.options.no_css else embedded_css(page, base, c.get("style")))
             if page.options.no_js:
                 c.attrs = [(n, v) for n, v in c.attrs if n.lower() not in _EVENTS]
-            walk(page, base, c)
+            stack.append(iter(list(c.children)))
 
 
 def csp(o: Options) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from foliomill import __version__
 from foliomill.functions import url as uf
-from foliomill.functions.rewrite import MHTML_FOOT, MHTML_HEAD, Asset, Options, save_page
+from foliomill.functions.rewrite import MHTML_FOOT, MHTML_HEAD, Asset, Options, save_page, with_options
 from foliomill.plans.scratch import Scratch
 
 SAVED = T.StructType(
@@ -39,10 +39,10 @@ def _save(options: Options):
                 known = {a["url_key"]: Asset(a["bytes"], a["final_url"] or a["url_key"], a["media_type"] or "", a["charset"] or "") for a in r["assets"] or []}
                 out = {"page_id": r["page_id"], "url": r["url"], "html": None, "title": None, "asked": [], "error": None}
                 try:
-                    html, title, asked = save_page(r["html"] or "", r["url"], options, known)
+                    html, title, asked = save_page(r["html"] or "", r["url"], with_options(options, dict(r.get("options") or {})), known)
                     out |= {"html": html, "title": title, "asked": [{"url_key": k, "kind": v} for k, v in asked.items()]}
-                except (ValueError, RecursionError, AttributeError) as error:
-                    out["error"] = str(error)[:300]
+                except (ValueError, KeyError, AttributeError) as error:
+                    out["error"] = f"{type(error).__name__}: {error}"[:300]
                 rows.append(out)
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -50,7 +50,11 @@ def _save(options: Options):
 
 
 def _rewritten(pages: DataFrame, options: Options) -> DataFrame:
-    return pages.select("page_id", "url", "html", "assets").mapInArrow(_save(options), SAVED)
+    return pages.select("page_id", "url", "html", "assets", *_own_options(pages)).mapInArrow(_save(options), SAVED)
+
+
+def _own_options(pages: DataFrame) -> list[str]:
+    return ["options"] if "options" in pages.columns else []
 
 
 def allowed(url: Column, domains: DataFrame | None, deny: bool) -> Column | None:
@@ -82,7 +86,8 @@ def looked_up(refs: DataFrame, assets: DataFrame, domains: DataFrame | None = No
 def saved_pages(spark: SparkSession, pages: DataFrame, assets: DataFrame, options: Options = Options(), domains: DataFrame | None = None, deny: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """(page_id, url, html, title, error): pages with their assets inside.
 
-    pages: page_id, url, html.  assets: url_key (without fragment), final_url,
+    pages: page_id, url, html, and perhaps options (a map of texts that changes
+    ``options`` for a page; an unknown name is that page's error).  assets: url_key (without fragment), final_url,
     bytes, media_type, charset; filter it before, e.g. by
     ``media.include_resource``.  Sheets and frames refer to more, so the lookup
     is repeated ``rounds`` times with what turned up; each round is a join on
@@ -93,7 +98,7 @@ def saved_pages(spark: SparkSession, pages: DataFrame, assets: DataFrame, option
     packed = F.collect_list(F.struct("url_key", "final_url", "bytes", "media_type", "charset")).alias("assets")
     for k in range(rounds):
         found = looked_up(refs.select("page_id", "url_key").distinct(), assets, domains, deny).where(F.col("bytes").isNotNull())
-        with_assets = pages.select("page_id", "url", "html").join(found.groupBy("page_id").agg(packed), "page_id", "left")
+        with_assets = pages.select("page_id", "url", "html", *_own_options(pages)).join(found.groupBy("page_id").agg(packed), "page_id", "left")
         out = _rewritten(with_assets, options)
         if k == rounds - 1:
             return out.drop("asked")

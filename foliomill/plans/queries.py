@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,53 +11,10 @@ from foliomill.functions import text as tf
 from foliomill.functions import url as uf
 from foliomill.functions.rewrite import Options
 from foliomill.operators import batching, catalog, collect, library, saving, translation
-from foliomill.session import configure
+from foliomill.plans.registry import ORACLES, QUERIES, literals, query, table, values
 from foliomill.sources import cookies as ck
 from foliomill.sources.pages import page_nodes, scan_documents
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function as a query, with its SQL twin if it has one."""
-
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            configure(spark)
-            return f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
-
-def values(rows: list[tuple], names: str) -> str:
-    """A DuckDB VALUES table of the same literals."""
-
-    def shown(v) -> str:
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return str(v).upper()
-        if isinstance(v, bytes):
-            return "'" + "".join(f"\\x{b:02X}" for b in v) + "'::BLOB"
-        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-
-    return "(VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") AS t({names})"
-
-
 # DuckDB forms of the text rules, for a column expression t.
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -456,22 +411,78 @@ def deduplicated_lines(spark, sf_dir):
     return collect.filter_and_sort(_line_items(spark, sf_dir)).select("page_id", "ord", "text", "priority", "rank")
 
 
-@query()
-def line_batches(spark, sf_dir):
+_DEDUPLICATED = ORACLES["deduplicated_lines"]
+#: Items in order are packed one after the other, then small batches are joined to the one before.
+_PACKED = f"""WITH RECURSIVE items AS MATERIALIZED (
+  SELECT page_id, ord, priority, rank, length(text) AS n, (length(text)::FLOAT * ({_item_sql("text")})::FLOAT)::FLOAT AS e,
+         [0.9, 1.0, 1.1, 1.3][priority + 1]::FLOAT AS pace FROM ({_DEDUPLICATED}) d
+), fold AS (
+  SELECT page_id, rank, ord, priority, 1 AS batch, 1 AS k, n::BIGINT AS chars, e AS effective, pace FROM items WHERE rank = 1
+  UNION ALL
+  SELECT page_id, rank, ord, priority, CASE WHEN over THEN batch + 1 ELSE batch END, CASE WHEN over THEN 1 ELSE k + 1 END, CASE WHEN over THEN n ELSE chars + n END,
+         CASE WHEN over THEN e ELSE (effective + e)::FLOAT END, CASE WHEN over THEN pace ELSE (paced + pace)::FLOAT END
+  FROM (SELECT i.*, f.batch, f.k, f.chars, f.effective, f.pace AS paced, i.priority <> f.priority OR f.chars + i.n > 9000 OR (f.effective + i.e)::FLOAT > 13500 AS over
+        FROM fold f JOIN items i ON i.page_id = f.page_id AND i.rank = f.rank + 1) x
+), single AS MATERIALIZED (
+  SELECT page_id, batch, priority, k, chars, effective,
+         CASE WHEN k = 1 THEN 'Single' WHEN k <= 2 THEN 'Small' WHEN chars > 7200 OR effective > (13500::FLOAT * 0.9::FLOAT)::FLOAT THEN 'Large' ELSE 'Standard' END AS kind,
+         trunc((150 + trunc(effective)::BIGINT * 8 // 10 + 10 * k)::FLOAT * (pace / k::FLOAT)::FLOAT)::BIGINT AS duration
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id, batch ORDER BY k DESC) AS last FROM fold) y WHERE last = 1
+), joined AS (
+  SELECT page_id, batch, 1 AS batch_id, priority, k, chars, effective, kind, duration, kind = 'Small' AS joinable FROM single WHERE batch = 1
+  UNION ALL
+  SELECT page_id, batch, CASE WHEN fits THEN batch_id ELSE batch_id + 1 END, CASE WHEN fits THEN greatest(p, priority) ELSE priority END,
+         CASE WHEN fits THEN j + k ELSE k END, CASE WHEN fits THEN c + chars ELSE chars END, CASE WHEN fits THEN w ELSE effective END,
+         CASE WHEN NOT fits THEN kind WHEN c + chars > 7200 THEN 'Large' WHEN j + k <= 2 THEN 'Small' ELSE 'Standard' END,
+         CASE WHEN fits THEN d + duration ELSE duration END, fits OR kind = 'Small'
+  FROM (SELECT s.*, f.batch_id, f.priority AS p, f.k AS j, f.chars AS c, f.effective AS w, f.duration AS d,
+               f.joinable AND s.kind = 'Small' AND f.kind NOT IN ('Single', 'Large') AND abs(f.priority - s.priority) <= 1 AND (f.effective + s.effective)::FLOAT <= 13500 AS fits
+        FROM joined f JOIN single s ON s.page_id = f.page_id AND s.batch = f.batch + 1) x
+), batches AS MATERIALIZED (
+  SELECT page_id, batch_id::INTEGER AS batch_id, kind AS batch_type, priority AS batch_priority, chars::BIGINT AS chars, effective, duration AS duration_ms, k::BIGINT AS items
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id, batch_id ORDER BY batch DESC) AS last FROM joined) y WHERE last = 1
+), placed AS MATERIALIZED (
+  SELECT page_id, batch_id::INTEGER AS batch_id, (row_number() OVER (PARTITION BY page_id, batch_id ORDER BY rank) - 1)::INTEGER AS place, ord, rank
+  FROM fold JOIN (SELECT page_id, batch, batch_id FROM joined) j USING (page_id, batch)
+)"""
+#: Effective sizes are sums in single precision; they are shown to a tenth.
+_TENTH = "round(effective::DOUBLE, 1) AS effective"
+
+
+def _tenth(batched: DataFrame) -> DataFrame:
+    return batched.withColumn("effective", F.round(F.col("effective").cast("double"), 1))
+
+
+def _batched(spark, sf_dir) -> DataFrame:
     return batching.create_batches(collect.filter_and_sort(_line_items(spark, sf_dir)))
 
 
-@query()
+@query(f"{_PACKED} SELECT page_id, batch_id, place, ord, batch_type, batch_priority, chars, {_TENTH}, duration_ms FROM placed JOIN batches USING (page_id, batch_id)")
+def line_batches(spark, sf_dir):
+    return _tenth(_batched(spark, sf_dir))
+
+
+@query(f"{_PACKED} SELECT page_id, sum(items)::BIGINT AS items, count(*) AS batches, sum(chars)::BIGINT AS chars, sum(items) / count(*)::DOUBLE AS mean_items, ceil(sum(items) / 9000.0) / count(*)::DOUBLE AS efficiency FROM batches GROUP BY 1")
 def batch_statistics(spark, sf_dir):
-    return batching.batch_statistics(batching.create_batches(collect.filter_and_sort(_line_items(spark, sf_dir))))
+    return batching.batch_statistics(_batched(spark, sf_dir))
 
 
-@query()
+@query(f"{_PACKED} SELECT page_id, batch_id, batch_type, batch_priority, chars, {_TENTH}, duration_ms, items, CASE WHEN batch_priority >= 2 THEN 0 WHEN batch_priority = 1 THEN 1 ELSE 2 END AS lane FROM batches")
 def batch_queue(spark, sf_dir):
-    return batching.queue_order(batching.batches_of(batching.create_batches(collect.filter_and_sort(_line_items(spark, sf_dir)))))
+    return _tenth(batching.queue_order(batching.batches_of(_batched(spark, sf_dir))))
 
 
-@query()
+@query(
+    f"""{_PACKED}, sized AS MATERIALIZED (SELECT p.*, n FROM placed p JOIN items USING (page_id, rank)
+), cut AS (
+  SELECT page_id, batch_id, place, ord, 0 AS part, n::BIGINT AS size FROM sized WHERE place = 0
+  UNION ALL
+  SELECT s.page_id, s.batch_id, s.place, s.ord, CASE WHEN c.size + s.n > 2000 AND c.size > 0 THEN c.part + 1 ELSE c.part END, CASE WHEN c.size + s.n > 2000 AND c.size > 0 THEN s.n ELSE c.size + s.n END
+  FROM cut c JOIN sized s ON s.page_id = c.page_id AND s.batch_id = c.batch_id AND s.place = c.place + 1
+)
+SELECT page_id, CASE WHEN chars > 2000 THEN batch_id + 1000 * part ELSE batch_id END::INTEGER AS batch_id, ord, CASE WHEN chars > 2000 THEN 'Standard' ELSE batch_type END AS batch_type
+FROM cut JOIN batches USING (page_id, batch_id)"""
+)
 def split_batches(spark, sf_dir):
     items = collect.filter_and_sort(_line_items(spark, sf_dir))
     return batching.split_batches(batching.create_batches(items), items, 2000)
@@ -750,3 +761,8 @@ ENCODED = [(1, "<meta charset=gb2312><p>", "你好", "gbk", "gb2312"), (2, "<p>"
 def decoded_pages(spark, sf_dir):
     rows = literals(spark, [(i, (a + b).encode(c)) for i, a, b, c, _ in ENCODED], "id int, content binary")
     return rows.select("id", en.decoded_page("content", F.lit(None).cast("string")).alias("d")).select("id", "d.*")
+
+
+from foliomill.plans import cases, rules  # noqa: E402  they register their own queries
+
+__all__ = ["ORACLES", "QUERIES", "cases", "rules"]

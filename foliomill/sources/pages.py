@@ -29,14 +29,18 @@ NODES = T.StructType(
 )
 #: Nodes of one outgoing Arrow batch.
 BATCH_NODES = 20_000
+#: Names that a path holds at most.  A deeper node has those of the outermost elements and, last, its parent's.
+PATH_NAMES = 128
 
 
 def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row for each node of each page, in document order: node_id counts from 0 at the document.
 
-    ``path`` names the elements around a node from the outside in.  The pages
-    are parsed where they are read; nothing is shuffled.  A null page is the
-    empty document.
+    ``path`` names the elements around a node from the outside in; below
+    ``PATH_NAMES`` elements it leaves out those between the outermost ones and
+    the parent, so that a page costs no more than its nodes however deep it
+    is nested.  The pages are parsed where they are read; nothing is shuffled.
+    A null page is the empty document.
     """
     names = NODES.fieldNames()
 
@@ -52,7 +56,7 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
                 for i, (n, depth) in enumerate(parse_html(text or "").walk()):
                     number[id(n)] = i
                     up = n.parent
-                    paths[id(n)] = [] if up is None else paths[id(up)] + ([up.tag] if up.kind == "element" else [])
+                    paths[id(n)] = [] if up is None else paths[id(up)][: PATH_NAMES - 1] + ([up.tag] if up.kind == "element" else [])
                     attrs = [{"name": k, "value": v} for k, v in n.attrs]
                     rows.append((page, i, None if up is None else number[id(up)], depth, n.kind, n.tag or None, paths[id(n)], attrs, n.text if n.kind != "element" else None))
                 if len(rows) >= BATCH_NODES:

@@ -131,3 +131,21 @@ def test_retries(spark):
 
     tries = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, True), (2, 0, False), (2, 3, False), (2, 9, True)], "batch_id int, attempt int, ok boolean")
     assert sorted(tuple(r) for r in translation.retried(tries).select("batch_id", "attempt", "ok").collect()) == [(1, 1, True), (2, 3, False)]
+
+
+def test_pages_nested_thousands_deep_are_whole(spark):
+    """No rule, search or path depends on the depth of a tree."""
+    from foliomill.operators import translation
+
+    depth = 20_000
+    html = "<title>Nested page title</title>" + "<div>" * depth + "<p>Some deep text here<img src=i.png>" + "</div>" * depth + "<p>Some shallow text here"
+    pages = spark.createDataFrame([(1, "https://h.example/", html)], "page_id bigint, url string, html string")
+    nodes = page_nodes(pages)
+    assert nodes.where("tag = 'div'").count() == depth and nodes.agg(F.max("depth"), F.max(F.size("path"))).first()[:] == (depth + 4, 128)
+    deep = nodes.where("text like 'Some deep%'").first()
+    assert deep["path"][:3] == ["html", "body", "div"] and deep["path"][-1] == "p" and deep["depth"] == depth + 4
+    assets = spark.createDataFrame([("https://h.example/i.png", None, b"PNG", "image/png", "")], "url_key string, final_url string, bytes binary, media_type string, charset string")
+    out = saving.saved_pages(spark, pages, assets).first()
+    assert out["error"] is None and out["title"] == "Nested page title" and out["html"].count("<div>") == depth and "data:image/png;base64,UE5H" in out["html"]
+    done = translation.translate_pages(spark, pages.select("page_id", "html"), F.upper).first()
+    assert "SOME SHALLOW TEXT HERE" in done["html"] and "Some deep text here" in done["html"]  # beyond the depth that is collected
