@@ -12,26 +12,44 @@ from pyspark.sql import functions as F
 
 from foliomill.llm import decontaminate, language, near_duplicates, packing, secrets
 from foliomill.llm.rows import unpacked
-from foliomill.plans.scratch import Scratch
+from foliomill.plans.scratch import Scratch, scope
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough confidence; those without a letter go."""
+    """Documents whose language is told with enough confidence.
+
+    Null and empty texts and those without a letter go, long texts are read
+    whole, repeated rows are kept or dropped alike, and an empty table gives
+    none; columns may have any names.
+    """
     return unpacked(language.identify_languages(docs, language.train(docs)).where("not rejected"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8).
+
+    Null and empty texts stay, as do rows without an id; of equal rows one
+    stays; columns may have any names.
+    """
     return near_duplicates.without_near_duplicates(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of the benchmark."""
+    """Documents without any window of the benchmark.
+
+    Null and empty texts stay; repeated rows are kept or dropped alike; columns
+    may have any names.
+    """
     return decontaminate.clean_documents(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret and ``n_chars`` brought up to date."""
+    """All documents, with a mark in place of each secret and ``n_chars`` brought up to date.
+
+    Null texts stay null, empty ones empty; repeated rows are changed alike; a
+    table without ``n_chars`` has only its texts changed; columns may have any
+    names.
+    """
     found = secrets.find_secrets(docs, redacted=True)
     text = F.when(F.size("spans") > 0, F.col("redacted")).otherwise(F.col("row.text"))
     n_chars = F.when(F.size("spans") > 0, F.char_length("redacted")).otherwise(F.col("row.n_chars"))
@@ -40,7 +58,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens.
+
+    Null and empty texts are one piece of the end id alone; each row of a
+    repeated document is packed by itself; other columns aren't read.
+    """
     return packing.pack_documents(spark, docs)
 
 
@@ -60,7 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of ``sf_dir``."""
     scratch, docs = Scratch(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        made = scratch.table(stage(spark, docs, sf_dir), name)
+        with scope(spark):  # what a stage writes on its way goes with it
+            made = scratch.table(stage(spark, docs, sf_dir), name)
         if k:
             scratch.drop(docs)
         docs = made

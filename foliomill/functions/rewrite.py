@@ -8,6 +8,10 @@ import re
 from dataclasses import dataclass, field, fields, replace
 from urllib.parse import urldefrag
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from foliomill.functions import css as css_rules
 from foliomill.functions.html import Node, made, parse_html, serialize
 from foliomill.functions.media import EVENT_ATTRIBUTES, EXTENSIONS, SIGNATURES
@@ -181,6 +185,15 @@ def srcset_parts(value: str) -> list[tuple[str, str]]:
     return out
 
 
+_CANDIDATE = T.StructType([T.StructField("path", T.StringType()), T.StructField("descriptor", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(_CANDIDATE))
+def srcset_candidates(value: pd.Series) -> pd.Series:
+    """The candidates of a srcset attribute; none for a null."""
+    return pd.Series([[{"path": p, "descriptor": d} for p, d in srcset_parts(v or "")] for v in value], dtype=object)
+
+
 def embedded_srcset(page: Page, base: str, value: str) -> str:
     parts = []
     for path, descriptor in srcset_parts(value):

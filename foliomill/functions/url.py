@@ -162,6 +162,18 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def domain_suffixes(domain: Column) -> Column:
+    """The domain, each of its ends after a dot, and the empty text: what a pattern can be equal to after its own dot."""
+    parts = F.split(F.lower(F.regexp_replace(domain, r"\.$", "")), r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.array_distinct(F.concat(ends, F.array(F.lit(""))))
+
+
+def bare_pattern(pattern: Column) -> Column:
+    """A domain pattern without the dots around it, in lower case."""
+    return F.regexp_replace(F.lower(pattern), r"^\.|\.$", "")
+
+
 def within_domain(domain: Column, pattern: Column) -> Column:
     """Label by label from the right: ``.x`` matches x and all below it, ``x`` itself only, ``.`` everything, the empty pattern nothing."""
     d, p = F.lower(F.regexp_replace(domain, r"\.$", "")), F.lower(F.regexp_replace(pattern, r"\.$", ""))

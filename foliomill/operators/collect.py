@@ -12,10 +12,34 @@ from foliomill.functions import text as tf
 from foliomill.sources.pages import attribute
 
 # Elements whose content isn't collected, and attributes that are.
-SKIP_ELEMENTS = """
-script style code pre noscript meta link head svg math canvas video audio embed object iframe map area base
-br hr img input source track wbr
-""".split()
+SKIP_ELEMENTS = [
+    "script",
+    "style",
+    "code",
+    "pre",
+    "noscript",
+    "meta",
+    "link",
+    "head",
+    "svg",
+    "math",
+    "canvas",
+    "video",
+    "audio",
+    "embed",
+    "object",
+    "iframe",
+    "map",
+    "area",
+    "base",
+    "br",
+    "hr",
+    "img",
+    "input",
+    "source",
+    "track",
+    "wbr",
+]
 ATTRIBUTES = ["title", "alt", "placeholder", "aria-label", "aria-description"]
 MAX_DEPTH = 50
 MIN_BYTES = 2

@@ -13,10 +13,13 @@ SORT_FIELDS = ("url", "title", "domain", "file_size", "created_at", "status")
 MOST_PER_PAGE = 100
 
 
-def records(pages: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
-    """Library records of pages: id, url, title, domain, languages, status, size, times, expiry and kind of cache."""
+def records(pages: DataFrame, now: Column, created: Column, target_lang: Column, ttl_days: int = 30) -> DataFrame:
+    """Library records of pages: id, url, title, domain, languages, status, size, times, expiry and kind of cache.
+
+    ``created`` and ``target_lang`` are the time and the language that a page
+    was saved at and translated to.
+    """
     title = F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1)
-    created = F.make_timestamp(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(hours=F.col("page_id").cast("int"))
     expires = created + F.make_dt_interval(days=F.lit(ttl_days))
     complete = F.col("html").rlike(r"</html>\s*$")
     return pages.select(
@@ -25,7 +28,7 @@ def records(pages: DataFrame, now: Column, ttl_days: int = 30) -> DataFrame:
         title.alias("title"),
         host(F.col("url")).alias("domain"),
         F.regexp_extract("html", r'<html[^>]*\blang="([a-z]+)"', 1).alias("source_lang"),
-        F.lit("zh").alias("target_lang"),
+        target_lang.alias("target_lang"),
         F.when(complete, "completed").otherwise("failed").alias("status"),
         F.octet_length("html").cast("long").alias("file_size"),
         created.alias("created_at"),
@@ -138,6 +141,26 @@ def export(library: DataFrame, path: str, kind: str = "json") -> None:
     {"json": out.json, "csv": out.option("header", True).csv, "parquet": out.parquet}[kind](path)
 
 
+def responses(saved: DataFrame) -> DataFrame:
+    """(id, response): the JSON that a caller gets for a page.
+
+    saved: id, url, title, original_html, translated_html, target_lang; a page
+    without any original is an error, one without a translation wasn't
+    translated.
+    """
+    done, translated = F.col("original_html").isNotNull(), F.col("translated_html").isNotNull()
+    body = F.struct(
+        F.when(done, "success").otherwise("error").alias("status"),
+        "original_html",
+        "translated_html",
+        "title",
+        "url",
+        translated.alias("translate_enabled"),
+        F.when(translated, F.col("target_lang")).alias("target_lang"),
+    )
+    return saved.select("id", F.to_json(body).alias("response"))
+
+
 def latest_of_domain(library: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` newest records of each domain."""
     order = Window.partitionBy("domain").orderBy(F.desc("created_at"), "id")

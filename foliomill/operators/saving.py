@@ -57,10 +57,6 @@ def _own_options(pages: DataFrame) -> list[str]:
     return ["options"] if "options" in pages.columns else []
 
 
-def allowed(url: Column, domains: DataFrame | None, deny: bool) -> Column | None:
-    return None if domains is None else ~uf.within_domain(url, F.col("pattern")) if deny else uf.within_domain(url, F.col("pattern"))
-
-
 def references(pages: DataFrame, options: Options = Options()) -> DataFrame:
     """(page_id, url_key, kind) of what pages refer to directly, without fragments."""
     none = pages.withColumn("assets", F.lit(None).cast("array<struct<url_key:string,final_url:string,bytes:binary,media_type:string,charset:string>>"))
@@ -70,17 +66,48 @@ def references(pages: DataFrame, options: Options = Options()) -> DataFrame:
 def looked_up(refs: DataFrame, assets: DataFrame, domains: DataFrame | None = None, deny: bool = False) -> DataFrame:
     """References with their assets, nulls where there are none.
 
-    A list of domain patterns (column ``pattern``) allows, or denies, before
-    the lookup; it is a list typed by hand, and checked to be of at most 10,000.
+    Domain patterns (column ``pattern``) allow, or deny, before the lookup.
+    Of several assets of one URL the one of the least final URL is taken, and
+    of those the one of the least digest.
     """
     wanted = refs
     if domains is not None:
-        patterns = [r["pattern"] for r in domains.select("pattern").limit(10_001).collect()]
-        if len(patterns) > 10_000:
-            raise ValueError("a list of at most 10,000 domain patterns is expected")
-        listed = refs.sparkSession.createDataFrame([(p,) for p in patterns], "pattern string")
-        wanted = refs.join(F.broadcast(listed), uf.within_domain(uf.host(F.col("url_key")), F.col("pattern")), "left_anti" if deny else "left_semi")
-    return wanted.join(assets.dropDuplicates(["url_key"]), "url_key", "left")
+        wanted = refs.join(_within(refs, domains), "url_key", "left_anti" if deny else "left_semi")
+    rest = [c for c in assets.columns if c != "url_key"]
+    order = F.struct(F.coalesce("final_url", "url_key"), F.sha2("bytes", 256))
+    one = assets.groupBy("url_key").agg(F.min_by(F.struct(*rest), order).alias("a")).select("url_key", "a.*")
+    return wanted.join(one, "url_key", "left")
+
+
+def _within(refs: DataFrame, domains: DataFrame) -> DataFrame:
+    """The URLs whose host lies within a pattern: a join on the ends of hosts."""
+    listed = domains.select("pattern").where("pattern <> ''").distinct().withColumn("end", uf.bare_pattern(F.col("pattern")))
+    urls = refs.select("url_key").distinct().withColumn("host", uf.host(F.col("url_key")))
+    met = urls.withColumn("end", F.explode(uf.domain_suffixes(F.col("host")))).join(listed, "end")
+    return met.where(uf.within_domain(F.col("host"), F.col("pattern"))).select("url_key").distinct()
+
+
+#: Assets of up to this many bytes are kept in memory by a cache, larger ones on disk.
+MEMORY_BYTES = 10 * 1024
+
+
+def cached_assets(cache: DataFrame, fetched: DataFrame, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
+    """The cache after a round of fetching: what came in replaces what was there, under the URL it came from in the end.
+
+    Columns of assets (url_key, final_url, bytes, media_type, charset) and
+    ``tier``: where the bytes belong by their size.
+    """
+    names = ["url_key", "final_url", "bytes", "media_type", "charset"]
+    new = fetched.where(F.col("bytes").isNotNull()).withColumn("url_key", F.regexp_replace(F.coalesce("final_url", "url_key"), "#.*", "")).select(*names, F.lit(1).alias("age"))
+    both = new.unionByName(cache.select(*names, F.lit(0).alias("age")))
+    latest = F.max_by(F.struct(*names[1:]), F.struct("age", F.sha2("bytes", 256))).alias("a")
+    kept = both.groupBy("url_key").agg(latest).select("url_key", "a.*")
+    return kept.withColumn("tier", F.when(F.octet_length("bytes") <= memory_bytes, "memory").otherwise("disk"))
+
+
+def kept(spark: SparkSession, frame: DataFrame, label: str) -> DataFrame:
+    """The frame written to the shared folder and read back, for results that several actions use."""
+    return Scratch(spark, label).table(frame, label)
 
 
 def saved_pages(spark: SparkSession, pages: DataFrame, assets: DataFrame, options: Options = Options(), domains: DataFrame | None = None, deny: bool = False, rounds: int = ROUNDS) -> DataFrame:
@@ -90,8 +117,10 @@ def saved_pages(spark: SparkSession, pages: DataFrame, assets: DataFrame, option
     ``options`` for a page; an unknown name is that page's error).  assets: url_key (without fragment), final_url,
     bytes, media_type, charset; filter it before, e.g. by
     ``media.include_resource``.  Sheets and frames refer to more, so the lookup
-    is repeated ``rounds`` times with what turned up; each round is a join on
-    the URL and a grouping of a page's own assets.
+    is repeated ``rounds`` times with what turned up, and what lies deeper
+    stays a reference; each round is a join on the URL and a grouping of a
+    page's own assets.  An asset that very many pages ask for makes a skewed
+    key, which adaptive execution splits on the side of the references.
     """
     scratch = Scratch(spark, "saving")
     refs = scratch.table(references(pages, options).distinct(), "refs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,9 +47,9 @@ def judged(joined: DataFrame, key: str = "batch_id") -> DataFrame:
     return joined.groupBy(key).agg(F.count("*").alias("n_items"), matched.alias("n_matched"), (matched / F.count("*") >= SUCCESS_SHARE).alias("success"))
 
 
-def strategy(batch_type: Column, items: Column) -> Column:
-    """How a batch is sent: its one item, item by item, or as numbered lines."""
-    return F.when(batch_type == "Single", "single").when(items <= 2, "individual").otherwise("indexed")
+def strategy(batch_type: Column, items: Column, small: int = 2) -> Column:
+    """How a batch is sent: its one item, item by item where it is a small one, or as numbered lines."""
+    return F.when(batch_type == "Single", "single").when((batch_type == "Small") & (items <= small), "individual").otherwise("indexed")
 
 
 def unmatched(joined: DataFrame, verdicts: DataFrame, key: str = "batch_id") -> DataFrame:
@@ -58,8 +58,47 @@ def unmatched(joined: DataFrame, verdicts: DataFrame, key: str = "batch_id") ->
 
 
 def processor_statistics(verdicts: DataFrame) -> DataFrame:
-    done = F.count_if("success")
-    return verdicts.agg(F.count("*").alias("batches"), done.alias("successful"), F.sum("n_matched").alias("items"), F.coalesce(F.try_divide(done.cast("double"), F.count("*")), F.lit(0.0)).alias("success_rate"))
+    """Batches, those that went well, items, and the shares of batches and of indexed ones that went well (0 without any).
+
+    verdicts: how (a strategy), success, n_matched.  A single item isn't counted among the items.
+    """
+    share = lambda part, whole: F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
+    done, indexed = F.count_if("success"), F.col("how") == "indexed"
+    return verdicts.agg(
+        F.count("*").alias("batches"),
+        done.alias("successful"),
+        F.coalesce(F.sum(F.when(F.col("how") != "single", F.col("n_matched"))), F.lit(0)).cast("long").alias("items"),
+        share(done, F.count("*")).alias("success_rate"),
+        share(F.count_if(indexed & F.col("success")), F.count_if(indexed)).alias("indexed_success_rate"),
+    )
+
+
+class ServiceCounters:
+    """Counts of what passes through a stream of frames, taken while other actions run, with no pass of their own.
+
+    ``counted`` names measures of a frame; once an action has run over it,
+    ``snapshot`` holds their sums over all frames since the last ``reset``.
+    """
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[Observation, list[str]]] = []
+
+    def counted(self, frame: DataFrame, **measures: Column) -> DataFrame:
+        seen = Observation()
+        self._seen.append((seen, list(measures)))
+        return frame.observe(seen, *[F.coalesce(m, F.lit(0)).cast("long").alias(k) for k, m in measures.items()])
+
+    def snapshot(self) -> dict[str, int]:
+        """Sums by name; waits for the action over each counted frame."""
+        out: dict[str, int] = {}
+        for seen, names in self._seen:
+            got = seen.get
+            for name in names:
+                out[name] = out.get(name, 0) + int(got.get(name) or 0)
+        return out
+
+    def reset(self) -> None:
+        self._seen = []
 
 
 def translated_or_original(translated: Column, original: Column) -> Column:
@@ -160,25 +199,29 @@ def retried(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
 def translate_pages(spark: SparkSession, pages: DataFrame, translator: Callable[[Column], Column], config: BatchConfig = BatchConfig(), everywhere: bool = True) -> DataFrame:
     """(page_id, html, n_items, n_translated): pages with their texts and attributes translated.
 
-    Collects, deduplicates, packs, asks ``translator`` (a function of a request
-    column: numbered lines in, numbered lines out) once for each batch, reads
-    the answers, asks again item by item where a batch's answer lacks too many,
-    and writes the translations into the trees.  ``everywhere``: equal items
-    of a page are all translated, not the first alone.
+    Collects, deduplicates, packs, and asks ``translator`` (a function of a
+    request column) in the way each batch calls for: numbered lines in and
+    numbered lines out for most, the plain text for a single item or the items
+    of a small batch, and again plain text by text where an answer of numbered
+    lines lacks too many.  The translations are written into the trees.
+    ``everywhere``: equal items of a page are all translated, not the first
+    alone.
     """
     scratch = Scratch(spark, "translation")
     items = scratch.table(collect.collect_items(page_nodes(pages)), "items")
     ranked = collect.filter_and_sort(items)
-    batched = create_batches(ranked, config).select("page_id", "batch_id", "place", "ord")
-    keyed = batched.join(ranked.select("page_id", "ord", "text", "text_type"), ["page_id", "ord"])
+    batched = create_batches(ranked, config)
+    how = strategy(F.col("batch_type"), F.col("n_items"), config.small).alias("how")
+    plan = batched.groupBy("page_id", "batch_id").agg(F.first("batch_type").alias("batch_type"), F.count("*").alias("n_items")).select("page_id", "batch_id", how)
+    keyed = batched.select("page_id", "batch_id", "place", "ord").join(plan, ["page_id", "batch_id"]).join(ranked.select("page_id", "ord", "text", "text_type"), ["page_id", "ord"])
     keyed = scratch.table(keyed.withColumn("key", F.struct("page_id", "batch_id")), "batches")
-    answers = read_answers(framed(keyed, "key").select("key", translator(F.col("request")).alias("response")), "key")
-    joined = scratch.table(joined_back(keyed, answers, "key"), "joined")
+    together = keyed.where("how = 'indexed'")
+    answers = read_answers(framed(together, "key").select("key", translator(F.col("request")).alias("response")), "key")
+    joined = scratch.table(joined_back(together, answers, "key"), "joined")
     failed = unmatched(joined, judged(joined, "key"), "key")
-    single = failed.select("key", "place", translator(F.concat(F.lit("[0] "), trimmed(F.col("text")))).alias("response"))
-    again = single.select("key", "place", F.nullif(F.regexp_extract("response", r"(?s)^\s*\[0\]\s*(.*?)\s*$", 1), F.lit("")).alias("second"))
-    done = joined.join(again, ["key", "place"], "left").withColumn("translated", F.coalesce("translated", "second"))
-    done = done.where("translated is not null").select("page_id", "ord", "text", "text_type", "translated")
+    single = keyed.where("how <> 'indexed'").unionByName(failed.select(keyed.columns))
+    again = single.select("page_id", "ord", "text", "text_type", F.nullif(trimmed(translator(trimmed(F.col("text")))), F.lit("")).alias("translated"))
+    done = joined.select(again.columns).unionByName(again).where("translated is not null")
     same = ["page_id", "text", "text_type"] if everywhere else ["page_id", "ord"]
     placed = items.join(done.select(*same, "translated"), same).select("page_id", "node_id", "attr_name", "translated")
     per_page = placed.groupBy("page_id").agg(F.collect_list(F.struct("node_id", "attr_name", "translated")).alias("changes"))

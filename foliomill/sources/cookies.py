@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.url import host, is_expired, path, scheme
+from foliomill.functions.url import bare_pattern, domain_suffixes, host, is_expired, path, scheme
 
 HEADERS = ("# HTTP Cookie File", "# Netscape HTTP Cookie File")
 
@@ -47,8 +47,12 @@ def matches(url: Column, domain: Column, include_subdomains: Column, prefix: Col
 
 
 def cookies_for(urls: DataFrame, cookies: DataFrame, now: Column) -> DataFrame:
-    """The live cookies of each URL; a jar is a file typed by a browser for one user, checked to be of at most 100,000 rows."""
-    if cookies.limit(100_001).count() > 100_000:
-        raise ValueError("a jar of at most 100,000 cookies is expected")
-    live = F.broadcast(cookies.where(~is_expired(F.col("expires"), now)).withColumnRenamed("path", "prefix"))
-    return urls.join(live, matches(F.col("url"), F.col("domain"), F.col("include_subdomains"), F.col("prefix"), F.col("https_only")))
+    """The live cookies of each URL.
+
+    A join on the ends of the host: a URL meets the cookies of its host and of
+    the domains above it, not all of them.
+    """
+    live = cookies.where(~is_expired(F.col("expires"), now)).withColumnRenamed("path", "prefix").withColumn("_end", bare_pattern(F.col("domain")))
+    ends = urls.withColumn("_end", F.explode(domain_suffixes(host(F.col("url")))))
+    fits = matches(F.col("url"), F.col("domain"), F.col("include_subdomains"), F.col("prefix"), F.col("https_only"))
+    return ends.join(live, "_end").where(fits).drop("_end")

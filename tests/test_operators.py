@@ -149,3 +149,66 @@ def test_pages_nested_thousands_deep_are_whole(spark):
     assert out["error"] is None and out["title"] == "Nested page title" and out["html"].count("<div>") == depth and "data:image/png;base64,UE5H" in out["html"]
     done = translation.translate_pages(spark, pages.select("page_id", "html"), F.upper).first()
     assert "SOME SHALLOW TEXT HERE" in done["html"] and "Some deep text here" in done["html"]  # beyond the depth that is collected
+
+
+def test_settings_come_from_defaults_file_and_environment(tmp_path):
+    from foliomill import settings
+
+    file = tmp_path / "own.toml"
+    file.write_text('target_lang = "fr"\nbatch_size = 500\nother = 1\n')
+    got = settings.load([tmp_path / "none.json", file], {"FOLIOMILL_BATCH_SIZE": "700", "FOLIOMILL_ENABLED": "off", "FOLIOMILL_CACHE_TTL_SECS": "5", "BATCH_SIZE": "900"})
+    assert (got["target_lang"], got["batch_size"], got["enabled"], got["cache_ttl_secs"], "other" in got) == ("fr", 700, False, 3600, False)
+    file.with_suffix(".json").write_text('{"local_cache_size": 0}')
+    with pytest.raises(ValueError, match="local_cache_size"):
+        settings.load([file.with_suffix(".json")], {})
+    assert settings.load([], {}) == {r.name: r.default for r in settings.RULES}
+
+
+def test_job_writes_files_and_tells_failures(spark, tmp_path, capsys):
+    from foliomill import job
+
+    assets = spark.createDataFrame([("https://h.example/a", None, b"<title>Lake</title>x<script>y</script>", "text/html", "")], "url_key string, final_url string, bytes binary, media_type string, charset string")
+    assets.write.parquet(str(tmp_path / "assets"))
+    (tmp_path / "targets.txt").write_text("https://h.example/a\n\ndata:text/html,<title>Two\n")
+    common = ["--targets", str(tmp_path / "targets.txt"), "--assets", str(tmp_path / "assets"), "--folder", str(tmp_path / "out")]
+    assert job.main([*common, "--output", "sub/%title%.%ext%", "--mhtml", "--no-metadata"], spark) == 0
+    assert "<script></script>" in (tmp_path / "out/sub/Lake.mht").read_text() and (tmp_path / "out/sub/Two.mht").exists()
+    (tmp_path / "targets.txt").write_text("https://h.example/gone\ndata:text/html,<title>Three\n")
+    assert job.main(common, spark) == 1 and (tmp_path / "out/Three.html").exists()
+    assert "could not retrieve target document" in capsys.readouterr().err
+
+
+def test_export(spark, tmp_path):
+    from foliomill.operators import library
+
+    records = spark.createDataFrame([("1", "é,"), ("2", None)], "id string, title string")
+    for kind in ("json", "csv", "parquet"):
+        library.export(records, str(tmp_path / kind), kind)
+        back = {"json": spark.read.json, "csv": spark.read.option("header", True).csv, "parquet": spark.read.parquet}[kind](str(tmp_path / kind))
+        assert sorted((r["id"], r["title"] or None) for r in back.select("id", "title").collect()) == [("1", "é,"), ("2", None)]
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from foliomill.plans.scratch import Scratch, scope
+
+    with scope(spark):
+        inner = Scratch(spark, "inner")
+        assert inner.table(spark.range(3), "t").count() == 3
+        folder = inner.root.removeprefix("file://")
+        assert os.path.exists(folder)
+    assert not os.path.exists(folder)
+
+
+def test_cookies_and_patterns_join_on_the_ends_of_hosts(spark):
+    from foliomill.functions import url as uf
+    from foliomill.sources import cookies as ck
+
+    rows = spark.createDataFrame([("a.b.Example.com.", ["a.b.example.com", "b.example.com", "example.com", "com", ""]), ("", [""])], "d string, e array<string>")
+    assert rows.where(uf.domain_suffixes(F.col("d")) != F.col("e")).count() == 0
+    jar = spark.createDataFrame([(".example.com", True, "/", False, 0, "all"), ("example.com", False, "/", False, 0, "own"), (".com", True, "/x", False, 0, "top")], "domain string, include_subdomains boolean, path string, https_only boolean, expires long, name string")
+    urls = spark.createDataFrame([(1, "https://a.example.com/x"), (2, "http://example.com"), (3, "https://other.org/")], "id int, url string")
+    got = sorted((r["id"], r["name"]) for r in ck.cookies_for(urls, jar, F.lit(5)).collect())
+    assert got == [(1, "all"), (1, "top"), (2, "all"), (2, "own")]
+    assert "NestedLoop" not in ck.cookies_for(urls, jar, F.lit(5))._jdf.queryExecution().toString()
