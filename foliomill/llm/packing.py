@@ -5,7 +5,8 @@ functions give a lower bound on the sequences that any packing of the
 partition needs; a partition that meets its bound is certified.  Partitions
 with a gap give the documents of their unfilled sequences to an exchange, a
 certified one lends its emptiest sequence, and what is exchanged is dealt anew
-and packed again, until nothing can be gained.
+and packed again, until nothing was gained, one partition is left, or the
+rounds (``ROUNDS``) are over; every piece has its place after each of them.
 """
 
 from __future__ import annotations
@@ -302,9 +303,13 @@ def pack_documents(spark: SparkSession, docs: DataFrame, carry: tuple[str, ...]
     A document is its token ids and one end id (0); only those of more than
     ``size`` tokens are cut.  A null or empty text is the end id alone; each
     row of a repeated document is packed by itself; an empty table gives none.
+    Only the carried columns and the text are read; a carried name that the
+    result has as well is an error.
     The text is read once, by the stage that tokenises; what is dealt and
     exchanged is a few numbers per piece.
     """
+    if clash := {*carry} & {*PIECE.fieldNames(), *PLACED.fieldNames(), "sequence_id", "_deal", "_part"}:
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     scratch = Scratch(spark, "packing")
     pieces = tokenized_pieces(docs, list(carry), size, tokenizer).withColumn("_deal", F.rand(7))
     return pack_pieces(spark, scratch.table(pieces, "pieces"), scratch, size, partition_pieces)
