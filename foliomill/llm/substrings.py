@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliomill.llm.text import hashed, plain, raw, split_words, windows
+from foliomill.plans.scratch import Scratch
 
 WINDOW_WORDS = 13
 #: A difference cover: every remainder modulo the period is a difference of two members.
@@ -234,11 +236,20 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW_WO
     also starts in a document with a smaller doc_id.  Null and empty texts have
     no words; texts shorter than a window lose none; rows that share a doc_id
     don't remove each other's words; a null doc_id is neither smaller nor
-    larger than another.  An empty table gives no rows.
+    larger than another.  An empty table gives no rows.  Ids must be integers;
+    other columns aren't read.
 
     Texts are dealt into batches by row number, so no key can fill a batch,
-    and cross the network once: the passes share that exchange.
+    and cross the network once: the passes share that exchange.  Row numbers
+    must be the same when a lost part of it is made again, as they are where
+    rows come from files in order; rows that come from a shuffle are written
+    first.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be of an integer type")
+    docs = docs.select("doc_id", "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = Scratch(spark, "substrings").table(docs, "documents")
     if window < PERIOD + 1:
         raise ValueError(f"windows of under {PERIOD + 1} words need another cover")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
