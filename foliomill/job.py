@@ -20,7 +20,7 @@ from foliomill.functions.media import output_path
 from foliomill.functions.rewrite import Options
 from foliomill.operators import saving
 from foliomill.session import configure, ship
-from foliomill.sources.pages import scan_documents
+from foliomill.sources.pages import piped_document, scan_documents
 
 SWITCHES = [f.name for f in fields(Options) if f.type == "bool"]
 
@@ -76,7 +76,7 @@ def write_files(saved: DataFrame, folder: str) -> DataFrame:
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="foliomill", description="Save pages as self-contained documents.")
-    out.add_argument("--targets", required=True, help="a text file with one target in a line")
+    out.add_argument("--targets", required=True, help="a text file with one target in a line; - is standard input")
     out.add_argument("--assets", required=True, help="Parquet of url_key, final_url, bytes, media_type, charset")
     out.add_argument("--files", help="a folder of local documents")
     out.add_argument("--folder", required=True, help="where to write, on storage that all executors share")
@@ -97,6 +97,8 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     files = spark.createDataFrame([], "path string, content binary")
     if given.files:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(given.files).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    if not targets.where("target = '-'").isEmpty():
+        files = files.unionByName(piped_document(spark))
     saved = saving.kept(spark, saved_targets(spark, targets, spark.read.parquet(given.assets), files, options, given.output), "job")
     written = write_files(saved, given.folder).count()
     failed = saved.where("error is not null").select("target", "error")

@@ -11,7 +11,7 @@ from foliomill.functions.rewrite import Options, srcset_candidates
 from foliomill.job import saved_targets
 from foliomill.operators import batching, catalog, collect, library, saving, translation
 from foliomill.plans.registry import literals, query, values
-from foliomill.settings import checked_settings
+from foliomill.settings import checked_settings, example
 from foliomill.sources.pages import page_nodes
 
 
@@ -428,6 +428,45 @@ def setting_checks(spark, sf_dir):
     return checked_settings(literals(spark, [s[:2] for s in SETTINGS], "name string, value string"))
 
 
+EXAMPLE = """# bool
+enabled = true
+# lang
+target_lang = "zh"
+# source
+source_lang = "auto"
+# url
+api_url = "http://localhost:1188/translate"
+# 0 to 1000
+max_requests_per_second = 5.0
+# 1 to 100
+max_concurrent_requests = 10
+# 100 to 50000
+batch_size = 9000
+# 1 to 300
+batch_timeout_secs = 30
+# from 0
+min_batch_chars = 2000
+# bool
+cache_enabled = true
+# 10 to 100000
+local_cache_size = 1000
+# 60 to 604800
+cache_ttl_secs = 3600
+# bool
+parallel_enabled = true
+# bool
+retry_enabled = true
+# from 0
+max_retry_attempts = 3
+"""
+
+
+@query(f"SELECT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM {values([(EXAMPLE,)], 'text').replace("AS t(", "AS v(")}) x WHERE line <> ''")
+def example_settings(spark, sf_dir):
+    """The lines of a settings file of the defaults."""
+    return literals(spark, [(line,) for line in example().splitlines()], "line string")
+
+
 RESPONSES = [
     (1, '{"status":"success","original_html":"<p>a","translated_html":"<p>A","title":"T","url":"u","translate_enabled":true,"target_lang":"zh"}'),
     (2, '{"status":"success","original_html":"<p>b","url":"v","translate_enabled":false}'),

@@ -349,8 +349,21 @@ def host_statistics(spark, sf_dir):
     return catalog.host_statistics(table(spark, sf_dir, "pages"))
 
 
-@query()
+def _path(u: str) -> str:
+    """A path as a browser writes it: these characters stay, others are encoded."""
+    out = f"url_encode({u})"
+    for code, char in (("%2F", "/"), ("%2C", ","), ("%21", "!"), ("%24", "$"), ("%26", "&"), ("%27", "''"), ("%28", "("), ("%29", ")"), ("%2B", "+"), ("%3B", ";"), ("%3D", "="), ("%3A", ":"), ("%40", "@")):
+        out = f"replace({out}, '{code}', '{char}')"
+    return out
+
+
+_ABSOLUTE = f"CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^https?://[^/?#]+') || {_path('href')} ELSE href END"
+
+
+@query(f"""SELECT page_id, ord, href, absolute, CASE WHEN NOT starts_with(href, '#') THEN '/website/' || {_encoded("absolute")} END AS proxied
+FROM (SELECT page_id, ord, href, {_ABSOLUTE} AS absolute FROM (SELECT page_id, ord, regexp_extract(whole, {_A}, 1) AS href FROM {_ANCHORS} x) y JOIN pages USING (page_id)) z""")
 def absolute_links(spark, sf_dir):
+    """Links as a browser sees them; those of the driver's pages all begin at the root."""
     pages = table(spark, sf_dir, "pages")
     return catalog.absolute_anchors(catalog.page_anchors(pages), pages).select("page_id", "ord", "href", "absolute", "proxied")
 
@@ -379,20 +392,38 @@ def _items(spark, sf_dir) -> DataFrame:
     return collect.collect_items(page_nodes(table(spark, sf_dir, "pages")))
 
 
-@query()
+_PRIORITY = f"CASE WHEN {_rules('line')['size']} > 100 THEN 2 WHEN {_rules('line')['size']} > 20 THEN 1 ELSE 0 END"
+
+
+def _plain(t: str) -> str:
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        t = f"replace({t}, '{code}', '{char}')"
+    return t
+
+
+#: Texts of pages in order, each with the tag before it: what tags, scripts, styles, titles and comments leave.
+_TEXTS = f"""(SELECT page_id, pos, {_plain("regexp_extract(piece, '>([^<]*)$', 1)")} AS text, lower(regexp_extract(piece, '^<(/?[a-zA-Z0-9]*)', 1)) AS tag
+FROM (SELECT page_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
+FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<title.*?</title>|<!--.*?-->', '<x>', 'g'), '<[^>]*>[^<]*') AS pieces FROM pages) p) q)"""
+_TEXT_ITEMS = f"""(SELECT page_id, pos, text, CASE tag WHEN 'a' THEN 'Link' WHEN 'h1' THEN 'Title' ELSE 'Content' END AS semantic_type, {_PRIORITY.replace("line", "text")} AS priority
+FROM {_TEXTS} x WHERE {_keep(_trim("text"))})"""
+
+
+@query(f"SELECT page_id, text, arg_min(semantic_type, pos) AS semantic_type, any_value(priority) AS priority FROM {_TEXT_ITEMS} y GROUP BY 1, 2")
 def collected_items(spark, sf_dir):
-    return collect.filter_and_sort(_items(spark, sf_dir))
+    """The texts of all pages that should be translated, each once for a page."""
+    return collect.filter_and_sort(_items(spark, sf_dir)).select("page_id", "text", "semantic_type", "priority")
 
 
-@query()
+@query(f"SELECT page_id, semantic_type, string_agg(text, chr(10) ORDER BY pos) AS texts FROM {_TEXT_ITEMS} y GROUP BY 1, 2")
 def collected_by_type(spark, sf_dir):
-    return collect.grouped_by(_items(spark, sf_dir), "semantic_type")
+    return collect.grouped_by(_items(spark, sf_dir), "semantic_type").select("page_id", "semantic_type", F.array_join("texts", "\n").alias("texts"))
 
 
-@query()
+@query(f"SELECT page_id, coalesce(items, 0)::BIGINT AS items, coalesce(n, 0)::BIGINT AS distinct_items, CASE WHEN items > 0 THEN 1 - n / items::DOUBLE ELSE 1 END AS dedup_rate FROM pages LEFT JOIN (SELECT page_id, count(*) AS items, count(DISTINCT text) AS n FROM {_TEXT_ITEMS} y GROUP BY 1) z USING (page_id)")
 def collection_statistics(spark, sf_dir):
     nodes = page_nodes(table(spark, sf_dir, "pages"))
-    return collect.collection_statistics(nodes, collect.collect_items(nodes))
+    return collect.collection_statistics(nodes, collect.collect_items(nodes)).select("page_id", "items", "distinct_items", "dedup_rate")
 
 
 def _line_items(spark, sf_dir) -> DataFrame:
@@ -401,9 +432,6 @@ def _line_items(spark, sf_dir) -> DataFrame:
     return rows.withColumn("priority", tf.priority(F.col("text_type"), F.col("text")))
 
 
-_PRIORITY = f"CASE WHEN {_rules('line')['size']} > 100 THEN 2 WHEN {_rules('line')['size']} > 20 THEN 1 ELSE 0 END"
-
-
 @query(
     f"""SELECT page_id, ord, text, priority, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, length(text), ord)::INTEGER AS rank FROM (
 SELECT doc_id AS page_id, line AS text, min(ord)::BIGINT AS ord, any_value({_PRIORITY}) AS priority FROM {_LINES} x WHERE {_rules("line")["size"]} >= 2 GROUP BY 1, 2) y"""
@@ -706,18 +734,6 @@ def scanned_documents(spark, sf_dir):
     return scan_documents(literals(spark, TARGETS, "target string"), web, files).withColumn("html", F.col("html").cast("string"))
 
 
-PAGE = "<html><head><link rel=stylesheet href=a.css></head><body><img src=i.png><a href=/p>l</a></body></html>"
-ASSETS = [("https://h.example/d/a.css", "https://h.example/d/a.css", b"@import 'z.css'; p{color:red}", "text/css", ""), ("https://h.example/d/z.css", "https://h.example/d/z.css", b"b{background:url(i.png)}", "text/css", ""), ("https://h.example/d/i.png", "https://h.example/d/i.png", b"PNG", "image/png", "")]
-
-
-@query()
-def saved_page(spark, sf_dir):
-    """A page with a sheet that imports another, both inside at the end."""
-    pages = literals(spark, [(1, "https://h.example/d/", PAGE)], "page_id bigint, url string, html string")
-    assets = literals(spark, ASSETS, "url_key string, final_url string, bytes binary, media_type string, charset string")
-    return saving.saved_pages(spark, pages, assets)
-
-
 @query()
 def saved_pages(spark, sf_dir):
     """All pages without scripts, as bytes of HTML."""
@@ -744,16 +760,21 @@ def rewritten_links(spark, sf_dir):
     return pages.select("page_id").join(counted, "page_id", "left").fillna(0, ["links"])
 
 
+def _capitals(request):
+    """A stand-in for a translator: a-z in capitals."""
+    return F.translate(request, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 @query()
 def translated_pages(spark, sf_dir):
     """All pages through a stand-in for a translator that writes in capitals."""
-    return translation.translate_pages(spark, table(spark, sf_dir, "pages"), F.upper)
+    return translation.translate_pages(spark, table(spark, sf_dir, "pages"), _capitals)
 
 
-@query("SELECT page_id, TRUE AS all_translated FROM pages")
+@query(f"SELECT page_id, coalesce(n, 0)::BIGINT AS n_items, coalesce(n, 0)::BIGINT AS n_translated FROM pages LEFT JOIN (SELECT page_id, count(*) AS n FROM {_TEXT_ITEMS} y GROUP BY 1) z USING (page_id)")
 def translated_page_counts(spark, sf_dir):
-    done = translation.translate_pages(spark, table(spark, sf_dir, "pages"), F.upper)
-    return done.select("page_id", (F.col("n_items") == F.col("n_translated")).alias("all_translated"))
+    """Items of each page, and how many were translated."""
+    return translation.translate_pages(spark, table(spark, sf_dir, "pages"), _capitals).select("page_id", "n_items", "n_translated")
 
 
 ENCODED = [(1, "<meta charset=gb2312><p>", "你好", "gbk", "gb2312"), (2, "<p>", "é", "utf-8", "utf-8"), (3, '<meta http-equiv=content-type content="text/html; charset=iso-8859-1">', "€", "cp1252", "iso-8859-1"), (4, "<meta charset=nonsense>", "ü", "utf-8", "utf-8")]

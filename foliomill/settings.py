@@ -114,6 +114,15 @@ def load(files: Iterable[str | Path] = (), environment: Mapping[str, str] | None
     return validated(out)
 
 
+def example() -> str:
+    """A settings file (TOML) of the defaults, each with its limits."""
+    out = []
+    for r in RULES:
+        limits = f"{r.low:g} to {r.high:g}" if r.high is not None else f"from {r.low:g}" if r.low is not None else r.kind
+        out += [f"# {limits}", f"{r.name} = {json.dumps(r.default)}"]
+    return "\n".join(out) + "\n"
+
+
 def checked_settings(values: DataFrame) -> DataFrame:
     """Rows (name, value) with ``error``: what is wrong with a value, null if nothing, ``unknown setting`` for other names."""
     spark = values.sparkSession

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +75,17 @@ def attribute(attrs: Column, name: str) -> Column:
     return F.try_element_at(F.filter(attrs, lambda a: a["name"] == name), F.lit(1))["value"]
 
 
+def piped_document(spark: SparkSession, stream: BinaryIO | None = None) -> DataFrame:
+    """One row (path ``-``, content) of what standard input holds, for ``scan_documents``; what came before an error stays."""
+    source, parts = stream or sys.stdin.buffer, []
+    try:
+        while part := source.read(1 << 20):
+            parts.append(part)
+    except OSError:
+        pass
+    return spark.createDataFrame([("-", b"".join(parts))], "path string, content binary")
+
+
 def scan_documents(targets: DataFrame, fetched: DataFrame, files: DataFrame) -> DataFrame:
     """target, html and error for each row of ``targets`` (a column ``target``).
 

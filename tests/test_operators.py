@@ -212,3 +212,20 @@ def test_cookies_and_patterns_join_on_the_ends_of_hosts(spark):
     got = sorted((r["id"], r["name"]) for r in ck.cookies_for(urls, jar, F.lit(5)).collect())
     assert got == [(1, "all"), (1, "top"), (2, "all"), (2, "own")]
     assert "NestedLoop" not in ck.cookies_for(urls, jar, F.lit(5))._jdf.queryExecution().toString()
+
+
+def test_a_piped_document_is_a_target(spark):
+    import io
+
+    from foliomill.sources.pages import piped_document, scan_documents
+
+    class Broken(io.BytesIO):
+        def read(self, size=-1):
+            part = super().read(3)
+            if not part:
+                raise OSError("gone")
+            return part
+
+    none = spark.createDataFrame([], "url string, bytes binary, media_type string")
+    out = scan_documents(spark.createDataFrame([("-",)], "target string"), none, piped_document(spark, Broken(b"<p>piped")))
+    assert out.first()["html"] == b"<p>piped"
