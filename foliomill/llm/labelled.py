@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,32 @@ def held_out(key: Column, folds: int, remainder: int) -> Column:
     return F.coalesce(fold(key, folds) == remainder, F.lit(True))
 
 
+def place(key: Column) -> Column:
+    """A number from 0 to 1 that depends on the key alone."""
+    return F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit(11)), 11) / F.lit(float(1 << 53))
+
+
+def ids_of(key: Column) -> Column:
+    """About how many different ids there are, so that one id of very many rows doesn't count for them."""
+    return F.approx_count_distinct(key, 0.02)
+
+
+def share_for(count: int, ids: int) -> float:
+    """The share of about ``ids`` ids to draw so that ``count`` of them come but for a chance of one in a million."""
+    return 1.0 if ids <= count else 1.1 * (count + 5 * math.sqrt(count) + 20) / ids
+
+
 def draw(rows: DataFrame, count: int) -> list:
-    """At most ``count`` rows of (doc_id, label), the same ones however the table is dealt."""
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
-    return rows.orderBy(order, "doc_id").limit(count).collect()
+    """At most ``count`` different ids of rows (doc_id), the same ones however the table is dealt.
+
+    Those whose hash lies under the share that is wanted come to the driver,
+    each once and little more than ``count`` however large the table; the last
+    are cut.
+    """
+    share = share_for(count, rows.agg(ids_of(F.col("doc_id"))).first()[0])
+    drawn = rows.select("doc_id", place(F.col("doc_id")).alias("place")).where(F.col("place") < share).distinct().collect()
+    ordered = sorted(((r["doc_id"], r["place"]) for r in drawn), key=lambda x: (x[1], str(x[0])))
+    return [k for k, _ in ordered[:count]]
 
 
 def short_enough(known: DataFrame, docs: DataFrame, most: int = SAMPLE_TEXT_BYTES) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.llm.labelled import SAMPLE_TEXT_BYTES, held_out, texts_of
+from foliomill.llm.labelled import SAMPLE_TEXT_BYTES, held_out, ids_of, place, share_for, texts_of
 from foliomill.llm.rows import map_texts, unpacked
 from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, left_out_shares, met_features, passages, softmax, temperature, train_embeddings
 from foliomill.llm.text import plain
@@ -123,13 +123,11 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_TEX
     """
     known = docs.where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT) & F.col("lang").isNotNull() & (F.octet_length("text") <= most_bytes))
     known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("many"), ids_of(F.col("doc_id")).alias("ids")).orderBy(F.desc("many"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return fit([], [])
-    # A tenth more than wanted, so that chance leaves enough; what is too much is cut by the hash.
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(1.1 * rows / r["count"] + 20 / r["count"])) for r in counts])
-    place = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 11) / F.lit(float(1 << 53))
-    drawn = known.select("doc_id", "lang", place.alias("place")).where(F.col("place") < share).collect()
+    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(share_for(rows, r["ids"]))) for r in counts])
+    drawn = known.select("doc_id", "lang", place(F.col("doc_id")).alias("place")).where(F.col("place") < share).distinct().collect()
     taken: dict[str, int] = {}
     wanted = {}
     for r in sorted(drawn, key=lambda r: (r["place"], str(r["doc_id"]), r["lang"])):

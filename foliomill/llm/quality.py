@@ -52,7 +52,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
     known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id"), FOLDS, HELD_OUT) & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     good, bad = known.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
     texts = short_enough(known, docs, most_bytes)
-    wanted = {r["doc_id"]: q for q in (0, 1) for r in draw(texts.where(F.col("quality") == q).select("doc_id"), rows)}
+    wanted = {k: q for q in (0, 1) for k in draw(texts.where(F.col("quality") == q).select("doc_id"), rows)}
     found = texts_of(docs, wanted, most_bytes)
     drawn = [wanted[k] for k, _ in found]
     fitted = fit([t for _, t in found], drawn)

@@ -65,9 +65,9 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE_ROWS, unl
     total, toxic = known.agg(F.count("toxic"), F.sum("toxic")).first()
     if not toxic:
         return ToxicityModel(None, 0.0)
-    confirmed = {r["doc_id"]: 1 for r in draw(short_enough(known.where("toxic = 1"), docs, most_bytes).select("doc_id"), positive)}
+    confirmed = {k: 1 for k in draw(short_enough(known.where("toxic = 1"), docs, most_bytes).select("doc_id"), positive)}
     texts = docs.where(fits & (F.octet_length("text") <= most_bytes))
-    anyone = {r["doc_id"]: 0 for r in draw(texts.select("doc_id"), unlabelled)}
+    anyone = {k: 0 for k in draw(texts.select("doc_id"), unlabelled)}
     found = texts_of(texts, anyone | confirmed, most_bytes)
     return fit([t for k, t in found if k in confirmed], [t for k, t in found if k in anyone], toxic / total)
 
