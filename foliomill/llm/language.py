@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from foliomill.llm.labelled import SAMPLE_TEXT_BYTES, held_out, ids_of, place, share_for, texts_of
 from foliomill.llm.rows import map_texts, unpacked
-from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, left_out_shares, met_features, passages, softmax, temperature, train_embeddings
+from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, give_back, left_out_shares, met_features, passages, softmax, temperature, train_embeddings
 from foliomill.llm.text import plain
 
 FOLDS, HELD_OUT = 4, 2
@@ -36,6 +36,8 @@ FLOOR_TEXTS = 50
 TRAINED_FOLDS, MET_FOLDS = 2, 5
 #: Words of a text that a step trains on, texts of a step, steps of the model, and of one that leaves out a part.
 PASSAGE_WORDS, BATCH, STEPS, FOLD_STEPS = 80, 32, 300, 200
+#: Left-out texts that are scored at a time.
+SCORED_TEXTS = 200
 UNKNOWN = "und"
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -94,7 +96,8 @@ def fit(texts: list[str], labels: list[str], features: Features = FEATURES) -> L
     for k in range(TRAINED_FOLDS):
         rows, rest = order[order % TRAINED_FOLDS != k], order[order % TRAINED_FOLDS == k]
         part = _fitted(features, [texts[i] for i in rows], y[rows], len(languages), FOLD_STEPS)
-        out[rest, :-1] = part.scores(pa.array([texts[i] for i in rest], pa.string()))
+        for some in np.array_split(rest, -(-len(rest) // SCORED_TEXTS)):
+            out[some, :-1] = part.scores(pa.array([texts[i] for i in some], pa.string()))
     out[:, -1] = left_out_shares(features, MET_SHORTEST, texts, order % MET_FOLDS)
     heat = temperature(out[:, :-1], y)
     chance = softmax(out[:, :-1] / heat)
@@ -135,7 +138,9 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_TEX
             wanted[r["doc_id"]] = r["lang"]
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
     pairs = texts_of(known, wanted, most_bytes)
-    return fit([t for _, t in pairs], [wanted[k] for k, _ in pairs])
+    fitted = fit([t for _, t in pairs], [wanted[k] for k, _ in pairs])
+    give_back()
+    return fitted
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, carry: list[str] | None = None) -> DataFrame:

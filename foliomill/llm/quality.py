@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from foliomill.llm.labelled import SAMPLE_ROWS, SAMPLE_TEXT_BYTES, draw, held_out, short_enough, texts_of
 from foliomill.llm.rows import map_texts, unpacked
-from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, softmax, train_embeddings
+from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, give_back, softmax, train_embeddings
 
 FOLDS, HELD_OUT = 5, 0
 FEATURES = Features(bits=17, shortest=1, longest=3, repeats=True)
@@ -56,6 +56,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_byte
     found = texts_of(docs, wanted, most_bytes)
     drawn = [wanted[k] for k, _ in found]
     fitted = fit([t for _, t in found], drawn)
+    give_back()
     if fitted.model is not None:
         fitted.model.bias = fitted.model.bias + np.array([0.0, np.log(good / bad) - np.log(sum(drawn) / (len(drawn) - sum(drawn)))])
     return fitted

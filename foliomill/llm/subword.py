@@ -8,6 +8,7 @@ slice of texts and summing: the cost is that of splitting the text.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -225,34 +226,65 @@ def train_embeddings(features: Features, texts: list[str], labels: np.ndarray, c
 RATE_SCALE = 200.0
 
 
+def _counted(features: Features, distinct: pa.StringArray, often: np.ndarray) -> np.ndarray:
+    """How many (text, word) pairs have each feature number, for each row of ``often`` (rows x words)."""
+    out = np.zeros((len(often), 1 << features.bits), np.int32)
+    for a, b, owner, found in _chunks(features, distinct):
+        for row, part in zip(out, often[:, a:b], strict=True):
+            row += np.bincount(found, weights=part[owner], minlength=len(row)).astype(np.int32)
+    return out
+
+
+def _chunks(features: Features, distinct: pa.StringArray):
+    """The features of some words at a time, so that memory doesn't depend on how many there are."""
+    for a in range(0, len(distinct), CHUNK_WORDS):
+        part = distinct.slice(a, CHUNK_WORDS)
+        yield a, a + len(part), *features.of(part)
+
+
+#: Distinct words whose features are in memory at a time while features are counted.
+CHUNK_WORDS = 16_384
+
+
+def _often(words: Words, fold: np.ndarray, folds: list[int]) -> np.ndarray:
+    """For each fold, in how many of the other folds' texts each word occurs."""
+    count = max(1, len(words.distinct))
+    text, word = np.divmod(np.unique(words.owner * count + words.codes), count)
+    return np.stack([np.bincount(word[fold[text] != k], minlength=count) for k in folds])
+
+
 def met_features(features: Features, texts: list[str], least: int = 2) -> np.ndarray:
     """The feature numbers that words of at least ``least`` of the texts have."""
     words = features.words(pa.array(texts, pa.string()))
-    owner, found = features.of(words.distinct)
-    count = max(1, len(words.distinct))
-    often = np.bincount(np.unique(words.owner * count + words.codes) % count, minlength=count)
-    number, back = np.unique(found, return_inverse=True)
-    return number[np.bincount(back, weights=often[owner], minlength=len(number)) >= least]
+    often = _often(words, np.zeros(len(texts), np.int64), [-1])
+    return np.flatnonzero(_counted(features, words.distinct, often)[0] >= least)
 
 
 def left_out_shares(features: Features, shortest: int, texts: list[str], fold: np.ndarray, least: int = 2) -> np.ndarray:
     """For each text the share of its words' features that ``met_features`` of the texts of other folds would hold."""
     words = features.words(pa.array(texts, pa.string()))
-    count = max(1, len(words.distinct))
-    owner, found = features.of(words.distinct)
-    share = features.shares(owner, count)
-    own, longer = replace(features, shortest=shortest).of(words.distinct)
-    text, word = np.divmod(np.unique(words.owner * count + words.codes), count)
+    folds = np.unique(fold).tolist()
+    met = _counted(replace(features, shortest=shortest), words.distinct, _often(words, fold, folds)) >= least
+    each = np.zeros((len(folds), max(1, len(words.distinct))))
+    for a, b, owner, found in _chunks(features, words.distinct):
+        share = features.shares(owner, b - a)
+        for k in range(len(folds)):
+            each[k, a:b] = np.bincount(owner, weights=share * met[k][found], minlength=b - a)
     out = np.zeros(len(texts))
-    for k in np.unique(fold).tolist():
-        often = np.bincount(word[fold[text] != k], minlength=count)
-        met = np.bincount(longer, weights=often[own], minlength=1 << features.bits) >= least
-        each = np.bincount(owner, weights=share * met[found], minlength=count)
-        total = np.bincount(words.owner, weights=each[words.codes], minlength=len(texts)) / np.maximum(1, words.counts)
+    for k, value in zip(folds, each, strict=True):
+        total = np.bincount(words.owner, weights=value[words.codes], minlength=len(texts)) / np.maximum(1, words.counts)
         out[fold == k] = total[fold == k]
     return out
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a driver goes on for long after a model is fitted."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def passages(texts: list[str], words: int, seed: int = 3) -> list[str]:
     """Of each text a stretch of at most so many words, at a random place."""
     rng = np.random.default_rng(seed)

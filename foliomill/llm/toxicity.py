@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from foliomill.llm.labelled import draw, held_out, short_enough, texts_of
 from foliomill.llm.rows import map_texts, unpacked
-from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, pu_cut, sigmoid, train_nnpu
+from foliomill.llm.subword import SCORED_BYTES, Features, LinearText, give_back, pu_cut, sigmoid, train_nnpu
 
 FOLDS, HELD_OUT = 5, 0
 FEATURES = Features(bits=18, shortest=3, longest=4, lower=True)
@@ -69,7 +69,9 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE_ROWS, unl
     texts = docs.where(fits & (F.octet_length("text") <= most_bytes))
     anyone = {k: 0 for k in draw(texts.select("doc_id"), unlabelled)}
     found = texts_of(texts, anyone | confirmed, most_bytes)
-    return fit([t for k, t in found if k in confirmed], [t for k, t in found if k in anyone], toxic / total)
+    fitted = fit([t for k, t in found if k in confirmed], [t for k, t in found if k in anyone], toxic / total)
+    give_back()
+    return fitted
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, carry: list[str] | None = None) -> DataFrame:
