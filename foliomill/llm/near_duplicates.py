@@ -36,8 +36,8 @@ SHORT_OF = 1e-8
 GROUP_SHINGLES = 1 << 17
 #: Nodes and shingles that a block of a bucket with several components has on average, whichever makes more blocks.
 BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
-#: A key of a join is hot if it has more than one row in HOT_KEYS, and more than HOT_ROWS; so there are at most HOT_KEYS.
-HOT_KEYS, HOT_ROWS = 4096, 20_000
+#: A key of a join is hot if it has more than one row in HOT_KEYS, and more than HOT_ROWS (some 8 MB); so there are at most HOT_KEYS.
+HOT_KEYS, HOT_ROWS = 4096, 200_000
 
 SIGNATURE = T.StructType(
     [
