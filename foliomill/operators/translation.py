@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -196,7 +197,7 @@ def retried(attempts: DataFrame, max_retries: int = 3) -> DataFrame:
     return allowed.withColumn("n", F.row_number().over(order)).where("n = 1").select("batch_id", "attempt", "ok", (F.pow(F.lit(2.0), F.col("attempt")) - 1).cast("long").alias("waited_seconds"))
 
 
-def translate_pages(spark: SparkSession, pages: DataFrame, translator: Callable[[Column], Column], config: BatchConfig = BatchConfig(), everywhere: bool = True) -> DataFrame:
+def translate_pages(spark: SparkSession, pages: DataFrame, translator: Callable[[Column], Column], config: BatchConfig = BatchConfig(), everywhere: bool = True, closed_references: bool = False) -> DataFrame:
     """(page_id, html, n_items, n_translated): pages with their texts and attributes translated.
 
     Collects, deduplicates, packs, and asks ``translator`` (a function of a
@@ -205,10 +206,10 @@ def translate_pages(spark: SparkSession, pages: DataFrame, translator: Callable[
     of a small batch, and again plain text by text where an answer of numbered
     lines lacks too many.  The translations are written into the trees.
     ``everywhere``: equal items of a page are all translated, not the first
-    alone.
+    alone.  ``closed_references`` is for ``parse_html``.
     """
     scratch = Scratch(spark, "translation")
-    items = scratch.table(collect.collect_items(page_nodes(pages)), "items")
+    items = scratch.table(collect.collect_items(page_nodes(pages, closed_references=closed_references)), "items")
     ranked = collect.filter_and_sort(items)
     batched = create_batches(ranked, config)
     how = strategy(F.col("batch_type"), F.col("n_items"), config.small).alias("how")
@@ -227,13 +228,13 @@ def translate_pages(spark: SparkSession, pages: DataFrame, translator: Callable[
     per_page = placed.groupBy("page_id").agg(F.collect_list(F.struct("node_id", "attr_name", "translated")).alias("changes"))
     counted = items.groupBy("page_id").agg(F.count("*").alias("n_items"))
     rows = pages.select("page_id", "html").join(per_page, "page_id", "left").join(counted, "page_id", "left")
-    return rows.select("page_id", "html", F.coalesce("n_items", F.lit(0)).alias("n_items"), "changes").mapInArrow(_apply, TRANSLATED)
+    return rows.select("page_id", "html", F.coalesce("n_items", F.lit(0)).alias("n_items"), "changes").mapInArrow(partial(_apply, closed_references), TRANSLATED)
 
 
 TRANSLATED = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("html", T.StringType()), T.StructField("n_items", T.LongType()), T.StructField("n_translated", T.LongType())])
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(closed_references: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Write translations into the trees; a node is known by its place in document order."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -244,7 +245,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             changes = r["changes"] or []
             html = r["html"]
             if changes:
-                document = parse_html(html or "")
+                document = parse_html(html or "", closed_references)
                 nodes = [n for n, _ in document.walk()]
                 for c in changes:
                     if c["attr_name"] is None:

@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["collected_by_type", "collected_items", "collection_statistics", "node_counts", "node_metadata"])
+@pytest.mark.parametrize("name", ["collected_by_type", "collected_items", "collection_statistics", "node_counts", "node_metadata", "translated_page_counts"])
 def test_unclosed_markup_as_in_sql(spark, folder, name):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
