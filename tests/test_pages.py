@@ -1,10 +1,14 @@
 """Pages whose markup is unclosed or cut short, and pages in great numbers."""
 
+import gc
+
 import duckdb
+import pyarrow as pa
 import pytest
 
-from foliomill.functions.html import parse_html, serialize
+from foliomill.functions.html import Node, parse_html, serialize
 from foliomill.plans.queries import ORACLES, QUERIES
+from foliomill.sources.pages import page_nodes
 
 HEAD = '<html><head><meta charset="utf-8"><title>{0}</title></head><body><article><h1>{0}</h1>'
 
@@ -43,3 +47,35 @@ def test_references_without_semicolon(text, closed, whole):
     for option, expected in ((True, closed), (False, whole)):
         p = parse_html(html, option).find("p")[0]
         assert p.content() == p.get("title") == expected
+
+
+class Stage:
+    """Stands for a frame and gives the function of its Arrow stage."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def passed(run, batch):
+    """Rows of each outgoing batch, and the nodes of trees that are still there without a collection of garbage."""
+    gc.collect()
+    before = sum(type(x) is Node for x in gc.get_objects())
+    gc.disable()
+    try:
+        return [b.num_rows for b in run(iter([batch]))], sum(type(x) is Node for x in gc.get_objects()) - before
+    finally:
+        gc.enable()
+
+
+PLAIN = "<p>" + "Some plain text. " * 1000
+
+
+def test_nodes_leave_in_batches(spark):
+    """One page of very many nodes goes out in parts, and so do long texts."""
+    sizes, left = passed(page_nodes(Stage()), pa.RecordBatch.from_pydict({"page_id": [1, 2], "html": ["<br>" * 30_000, None]}))
+    assert sum(sizes) == 30_004 + 4 and max(sizes) <= 5_000 and left == 0
+    sizes, left = passed(page_nodes(Stage()), pa.RecordBatch.from_pydict({"page_id": range(1000), "html": [PLAIN] * 1000}))
+    assert sum(sizes) == 6000 and len(sizes) > 5 and left == 0
