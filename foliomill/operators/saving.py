@@ -13,6 +13,7 @@ from foliomill import __version__
 from foliomill.functions import url as uf
 from foliomill.functions.rewrite import MHTML_FOOT, MHTML_HEAD, Asset, Options, save_page, with_options
 from foliomill.plans.scratch import Scratch
+from foliomill.sources.rows import each_row, written
 
 SAVED = T.StructType(
     [
@@ -29,22 +30,20 @@ ROUNDS = 3
 
 
 def _save(options: Options):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, int]]:
+        for r in each_row(batches):
+            known = {a["url_key"]: Asset(a["bytes"], a["final_url"] or a["url_key"], a["media_type"] or "", a["charset"] or "") for a in r["assets"] or []}
+            try:
+                html, title, asked = save_page(r["html"] or "", r["url"], with_options(options, dict(r.get("options") or {})), known)
+                row, size = (html, title, list(asked.items()), None), len(html) + sum(map(len, asked))
+            except (ValueError, KeyError, AttributeError) as error:
+                row, size = (None, None, [], f"{type(error).__name__}: {error}"[:300]), 0
+            yield (r["page_id"], r["url"], *row), size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(SAVED)
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                known = {a["url_key"]: Asset(a["bytes"], a["final_url"] or a["url_key"], a["media_type"] or "", a["charset"] or "") for a in r["assets"] or []}
-                out = {"page_id": r["page_id"], "url": r["url"], "html": None, "title": None, "asked": [], "error": None}
-                try:
-                    html, title, asked = save_page(r["html"] or "", r["url"], with_options(options, dict(r.get("options") or {})), known)
-                    out |= {"html": html, "title": title, "asked": [{"url_key": k, "kind": v} for k, v in asked.items()]}
-                except (ValueError, KeyError, AttributeError) as error:
-                    out["error"] = f"{type(error).__name__}: {error}"[:300]
-                rows.append(out)
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        return written(rows(batches), to_arrow_schema(SAVED))
 
     return run
 

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 
 from foliomill.functions.html import Node, parse_html, serialize
+from foliomill.functions.rewrite import Options
+from foliomill.operators import saving
 from foliomill.plans.queries import ORACLES, QUERIES
 from foliomill.sources.pages import page_nodes
 
@@ -79,3 +81,9 @@ def test_nodes_leave_in_batches(spark):
     assert sum(sizes) == 30_004 + 4 and max(sizes) <= 5_000 and left == 0
     sizes, left = passed(page_nodes(Stage()), pa.RecordBatch.from_pydict({"page_id": range(1000), "html": [PLAIN] * 1000}))
     assert sum(sizes) == 6000 and len(sizes) > 5 and left == 0
+
+
+def test_saved_pages_leave_in_batches():
+    pages = [{"page_id": k, "url": "https://h.example/", "html": PLAIN, "assets": None} for k in range(1000)]
+    sizes, left = passed(saving._save(Options()), pa.RecordBatch.from_pylist(pages))
+    assert sum(sizes) == 1000 and len(sizes) > 5 and left == 0
