@@ -16,6 +16,7 @@ from foliomill.operators import collect
 from foliomill.operators.batching import BatchConfig, create_batches
 from foliomill.plans.scratch import Scratch
 from foliomill.sources.pages import page_nodes
+from foliomill.sources.rows import each_row, written
 
 SUCCESS_SHARE = 0.8
 
@@ -238,20 +239,22 @@ def _apply(closed_references: bool, batches: Iterator[pa.RecordBatch]) -> Iterat
     """Write translations into the trees; a node is known by its place in document order."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(TRANSLATED)
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            changes = r["changes"] or []
-            html = r["html"]
-            if changes:
-                document = parse_html(html or "", closed_references)
-                nodes = [n for n, _ in document.walk()]
-                for c in changes:
-                    if c["attr_name"] is None:
-                        nodes[c["node_id"]].text = c["translated"]
-                    else:
-                        nodes[c["node_id"]].set(c["attr_name"], c["translated"])
-                html = serialize(document)
-            rows.append({"page_id": r["page_id"], "html": html, "n_items": r["n_items"], "n_translated": len(changes)})
-        yield pa.RecordBatch.from_pylist(rows, schema)
+    return written(_applied(batches, closed_references), to_arrow_schema(TRANSLATED))
+
+
+def _applied(batches: Iterator[pa.RecordBatch], closed_references: bool) -> Iterator[tuple[tuple, int]]:
+    for r in each_row(batches):
+        changes = r["changes"] or []
+        html = r["html"]
+        if changes:
+            document = parse_html(html or "", closed_references)
+            nodes = [n for n, _ in document.walk()]
+            for c in changes:
+                if c["attr_name"] is None:
+                    nodes[c["node_id"]].text = c["translated"]
+                else:
+                    nodes[c["node_id"]].set(c["attr_name"], c["translated"])
+            html = serialize(document)
+            del nodes
+            document.release()
+        yield (r["page_id"], html, r["n_items"], len(changes)), len(html or "")

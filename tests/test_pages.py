@@ -1,6 +1,7 @@
 """Pages whose markup is unclosed or cut short, and pages in great numbers."""
 
 import gc
+from functools import partial
 
 import duckdb
 import pyarrow as pa
@@ -8,7 +9,7 @@ import pytest
 
 from foliomill.functions.html import Node, parse_html, serialize
 from foliomill.functions.rewrite import Options
-from foliomill.operators import saving
+from foliomill.operators import saving, translation
 from foliomill.plans.queries import ORACLES, QUERIES
 from foliomill.sources.pages import page_nodes
 
@@ -87,3 +88,10 @@ def test_saved_pages_leave_in_batches():
     pages = [{"page_id": k, "url": "https://h.example/", "html": PLAIN, "assets": None} for k in range(1000)]
     sizes, left = passed(saving._save(Options()), pa.RecordBatch.from_pylist(pages))
     assert sum(sizes) == 1000 and len(sizes) > 5 and left == 0
+
+
+def test_translated_pages_leave_in_batches():
+    change = {"node_id": 5, "attr_name": None, "translated": "AS TRANSLATED"}
+    pages = [{"page_id": k, "html": PLAIN, "n_items": 1, "changes": [change] if k % 2 else None} for k in range(1000)]
+    sizes, left = passed(partial(translation._apply, False), pa.RecordBatch.from_pylist(pages))
+    assert sum(sizes) == 1000 and len(sizes) > 3 and left == 0
